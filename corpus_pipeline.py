@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracklens.llm import exact_dedup, quality_rules, simhash_dedup
+from tracklens.llm import exact_dedup, packing, quality_rules, simhash_dedup, suffix_dedup
 from tracklens.llm.common import stage, table
 
 
@@ -23,7 +23,17 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash_dedup.dedup(docs)
 
 
-STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("simhash_dedup", near)]
+def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages go from the texts; documents stay, as empty texts where all of one was repeated."""
+    return suffix_dedup.dedup(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's tokens, in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("simhash_dedup", near), ("suffix_dedup", suffixes), ("packing", packed)]
 ORACLE_SQL = None
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tracklens.llm import exact_dedup, quality_rules, simhash_dedup, suffix_dedup
+from tracklens.llm import exact_dedup, packing, quality_rules, simhash_dedup, suffix_dedup, tokens
 
-MODULES = [quality_rules, suffix_dedup, simhash_dedup, exact_dedup]
+MODULES = [quality_rules, suffix_dedup, simhash_dedup, exact_dedup, packing, tokens]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
