@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracklens.llm import exact_dedup, packing, quality_rules, simhash_dedup, suffix_dedup
 from tracklens.llm.common import stage, table
@@ -25,7 +26,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go from the texts; documents stay, as empty texts where all of one was repeated."""
-    return suffix_dedup.dedup(docs)
+    return suffix_dedup.dedup(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,10 +20,10 @@ empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import BLANKS, keyed, partitions, stage, table
+from tracklens.llm.common import BLANKS, keep_rows, keyed, partitions, stage, table
 
 MAX_DEPTH = 14
 #: Entries (distinct texts) a bucket takes before it splits.
