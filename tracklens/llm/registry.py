@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tracklens.llm import exact_dedup, language, packing, pieces, quality_rules, sharding, simhash_dedup, suffix_dedup, tokens
+from tracklens.llm import exact_dedup, language, line_dedup, packing, pieces, quality_rules, sharding, simhash_dedup, suffix_dedup, tokens
 
-MODULES = [sharding, pieces, language, quality_rules, suffix_dedup, simhash_dedup, exact_dedup, packing, tokens]
+MODULES = [line_dedup, sharding, pieces, language, quality_rules, suffix_dedup, simhash_dedup, exact_dedup, packing, tokens]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
