@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tracklens.plans import base, scalar_queries  # noqa: F401
+
+QUERIES, ORACLE_SQL = base.QUERIES, base.ORACLE_SQL
 
 
 def entry(spark, sf_dir):
-    raise NotImplementedError
+    return QUERIES["p12_studio_fields"](spark, sf_dir)
