@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklens.plans import base, scalar_queries  # noqa: F401
+from tracklens.plans import base, join_queries, scalar_queries  # noqa: F401
 
 QUERIES, ORACLE_SQL = base.QUERIES, base.ORACLE_SQL
 

@@ -130,9 +130,9 @@ def fnv_sql(column: str, start: int = S.FNV_OFFSET) -> str:
 
 @query("p16_hash_geometry", f"""
 WITH h AS (SELECT track_id, {fnv_sql('track_id')} AS h FROM tracks)
-SELECT track_id, h, round(h / 4294967296.0, 9) AS unit, round(cos(radians(CAST(h % 360 AS DOUBLE))) * (1.8 + (h % 80) / CAST(50 AS DOUBLE)), 9) AS x, round(1 + sin(radians(CAST(h % 360 AS DOUBLE))) * (0.15 + (h % 40) / CAST(220 AS DOUBLE)), 9) AS local_y FROM h""", "tracks")
+SELECT track_id, h, round(h / 4294967296.0, 9) AS unit, round(9 + cos(radians(CAST(h % 360 AS DOUBLE))) * (1.8 + (h % 80) / CAST(50 AS DOUBLE)), 9) AS x, round(1 + sin(radians(CAST(h % 360 AS DOUBLE))) * (0.15 + (h % 40) / CAST(220 AS DOUBLE)), 9) AS local_y FROM h""", "tracks")
 def p16(spark, sf):
-    return view(spark, sf, "tracks").select("track_id", S.fnv1a(C("track_id")).alias("h"), F.round(S.hash_unit(C("track_id")), 9).alias("unit"), F.round(S.hash_point(C("track_id"), 1.8, 80, 50.0)["x"], 9).alias("x"), F.round(S.hash_point(C("track_id"), 0.15, 40, 220.0)["y"] + 1, 9).alias("local_y"))
+    return view(spark, sf, "tracks").select("track_id", S.fnv1a(C("track_id")).alias("h"), F.round(S.hash_unit(C("track_id")), 9).alias("unit"), F.round(S.hash_point(C("track_id"), 1.8, 80, 50.0)["x"] + 9, 9).alias("x"), F.round(S.hash_point(C("track_id"), 0.15, 40, 220.0)["y"] + 1, 9).alias("local_y"))
 
 
 @query("p17_fit_dim", "SELECT vec_id, 80 AS n, round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 6) AS total, round(list_sum(list_transform(embedding[1:16], lambda v: CAST(v AS DOUBLE))), 6) AS head FROM embeddings")
