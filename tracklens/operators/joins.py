@@ -65,11 +65,11 @@ def neighbour_groups(results: DataFrame, configs: DataFrame, tracks: DataFrame,
 
 def reuse_evidence(targets: DataFrame, stages: DataFrame) -> DataFrame:
     """Targets with the latest succeeded other stage of the same cache key."""
-    donors = stages.where("status = 'succeeded' AND cache_key IS NOT NULL").select("cache_key", C("stage_id").alias("donor_id"), C("finished_at").alias("donor_finished"))
+    donors = stages.where("status = 'succeeded' AND cache_key IS NOT NULL").groupBy("cache_key", C("stage_id").alias("donor_id")).agg(F.max("finished_at").alias("donor_finished"))
     # the two latest donors of a key suffice: a target can be one of them only
     top = donors.withColumn("_place", F.row_number().over(Window.partitionBy("cache_key").orderBy(F.desc("donor_finished"), "donor_id"))).where("_place <= 2")
     pairs = targets.join(top, "cache_key").where("stage_id <> donor_id")
-    return first_per(pairs, ["stage_id"], ["_place"]).drop("_place")
+    return first_per(pairs, ["stage_id", "cache_key"], ["_place"]).drop("_place")
 
 
 def eligible_stages(stages: DataFrame, cancelled_runs: DataFrame, now, max_attempts: int) -> DataFrame:

@@ -189,10 +189,10 @@ def j10(spark, sf):
 
 
 @query("j11_reuse_evidence", """
-SELECT t.stage_id, max_by(d.stage_id, (d.finished_at, -d.stage_id)) AS donor_id FROM stages t JOIN stages d ON t.cache_key = d.cache_key AND t.stage_id <> d.stage_id AND d.status = 'succeeded' WHERE t.status = 'queued' AND t.run_id % 5 = 0 GROUP BY t.stage_id""", "stages")
+SELECT t.stage_id, max_by(d.stage_id, (d.finished_at, -d.stage_id)) AS donor_id FROM stages t JOIN stages d ON t.cache_key = d.cache_key AND t.stage_id <> d.stage_id AND d.status = 'succeeded' WHERE t.status = 'queued' AND t.run_id % 5 = 0 GROUP BY t.stage_id, t.cache_key""", "stages")
 def j11(spark, sf):
     s = view(spark, sf, "stages")
-    return joins.reuse_evidence(s.where("status = 'queued' AND run_id % 5 = 0").select("stage_id", "cache_key"), s).select("stage_id", "donor_id")
+    return joins.reuse_evidence(s.where("status = 'queued' AND run_id % 5 = 0").select("stage_id", "cache_key").distinct(), s).select("stage_id", "donor_id")
 
 
 @query("j12_reusable_analysis", """
