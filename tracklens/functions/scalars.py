@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,8 +56,6 @@ def identity_part(value: Column) -> Column:
 
 def identity_unicode():
     """The same for any text: compatibility forms are folded too."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fold(values: pd.Series) -> pd.Series:
         import unicodedata

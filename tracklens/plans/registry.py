@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklens.plans import aggregate_queries, base, join_queries, scalar_queries, similarity_queries  # noqa: F401
+from tracklens.plans import aggregate_queries, base, join_queries, scalar_queries, similarity_queries, source_queries  # noqa: F401
 
 QUERIES, ORACLE_SQL = base.QUERIES, base.ORACLE_SQL
 
