@@ -80,15 +80,15 @@ def _numbered(d: DataFrame, order: list[Column]) -> DataFrame:
     return ranged.join(F.broadcast(starts), "_p").withColumn("k", F.col("_start") + F.col("_i")).drop("_p", "_i", "_start")
 
 
-def number_within(df: DataFrame, keys: list[str], order: list[str], name: str, buckets: int = 64) -> DataFrame:
+def number_within(df: DataFrame, keys: list[str], order: list[str], name: str, buckets: int = 64, spread: Column | None = None) -> DataFrame:
     """Add ``name``: a gapless number from 0 within each key, however many rows a key has.
 
-    Rows of a key are dealt to ``buckets`` by a hash of the columns ``order``, which tell rows apart, and
-    numbered there; a bucket starts after the rows of the buckets before it. So no task sorts more than a
+    Rows of a key are dealt to ``buckets`` by a hash of the columns ``order``, which tell rows apart, or of
+    ``spread`` (rows alike in it get neighbouring numbers), and numbered there; a bucket starts after the rows of the buckets before it. So no task sorts more than a
     bucket of a key. The keys must be few by construction (shards, lengths): the table of starts, a row for
     each key and bucket, is broadcast. ``df`` is read twice, so pass a staged table.
     """
-    d = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    d = df.withColumn("_b", F.pmod(F.xxhash64(*([spread] if spread is not None else order)), F.lit(buckets)).cast("int"))
     counts = d.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

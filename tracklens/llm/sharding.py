@@ -2,11 +2,13 @@
 
 Documents with equal texts are linked. Linked documents start in even shares; in each round a document
 moves to the shard with room that most of its group is in, if that is more than where it is. Each shard
-has a quota, its final number of rows, and a round lets no more in than the quota leaves. Rounds are joins
-of three narrow tables: documents, counts of (group, shard), and each group's best shard; they end when
-nobody moves. Documents without links have no edges to cut: they fill every shard up to its quota.
+has a quota, its final number of rows; during the rounds it may hold SLACK more, and a round lets no more
+in than that leaves. Rounds are joins of three narrow tables: documents, counts of (group, shard), and each
+group's best shard; they end when nobody moves. Then shards over their quota give up what is over it, from
+their largest groups first, as those are cut in any case. What was given up, group by group, and then the
+documents without links, which have no edges to cut, fill every shard up to its quota.
 
-A group larger than a quota fills one shard after another, so it is cut into as few parts as quotas allow.
+A group larger than a quota fills one shard after another, so it is cut into few parts.
 Counts combine before they shuffle, and documents meet them by (group, shard), so a group that holds a third
 of all rows is spread like any other rows.
 
@@ -22,6 +24,9 @@ from pyspark.sql import functions as F
 from tracklens.llm.common import keyed, number_within, partitions, stage, table
 
 SHARDS = 24
+SLACK = 0.25
+#: Groups of at least 2**WIDE members are spread by member when they are numbered.
+WIDE = 15
 GROUP = ["g1", "g2"]
 
 
@@ -50,6 +55,30 @@ def propagate(linked: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
     return linked
 
 
+def give_up(linked: DataFrame, quotas: list[int], buckets: int) -> DataFrame:
+    """(k, g1) of the rows by which shards exceed their quotas, largest groups first.
+
+    Groups are classed by the power of two of their size: a shard and class are the bounded keys by which
+    rows are counted and numbered.
+    """
+    size = linked.groupBy(*GROUP).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("class"))
+    classed = stage(linked.join(size, GROUP), "classed")
+    counts = {(r["shard"], r["class"]): r["count"] for r in classed.groupBy("shard", "class").count().collect()}
+    over: list[tuple[int, int, int]] = []
+    for j, quota in enumerate(quotas):
+        left = sum(n for (shard, _), n in counts.items() if shard == j) - quota
+        for (shard, c), n in sorted(counts.items(), key=lambda x: -x[0][1]):
+            if shard == j and left > 0:
+                over.append((j, c, min(n, left)))
+                left -= n
+    number = F.lit(0)
+    for j, c, n in over:  # a few classes of a few shards
+        number = F.when((F.col("shard") == j) & (F.col("class") == c), n).otherwise(number)
+    spread = F.when(F.col("class") < WIDE, F.col("g1")).otherwise(F.xxhash64("k"))
+    numbered = number_within(classed, ["shard", "class"], ["g1", "k"], "number", buckets, spread)
+    return stage(numbered.where(F.col("number") < number).select("k", "g1", "class"), "given-up")
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = 30) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row of docs."""
     text = F.coalesce("text", F.lit(""))
@@ -64,11 +93,16 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = 30) -> DataFrame
     linked = stage(base.select("k", *GROUP).join(several, GROUP, "left_semi").withColumn("one", F.lit(0)), "groups")
     dealt = number_within(linked, ["one"], ["k"], "number", buckets)
     linked = stage(dealt.select("k", *GROUP, F.pmod("number", F.lit(shards)).cast("int").alias("shard")), "linked")
-    linked = propagate(linked, quotas, rounds)
+    linked = propagate(linked, [int(q * (1 + SLACK)) + 1 for q in quotas], rounds)
+    given = give_up(linked, quotas, buckets)
+    linked = stage(linked.select("k", "shard").join(given.select("k"), "k", "left_anti"), "settled")
 
     taken = {r["shard"]: r["count"] for r in linked.groupBy("shard").count().collect()}
-    single = stage(base.select("k").join(linked.select("k"), "k", "left_anti").withColumn("one", F.lit(0)), "single")
-    numbered = number_within(single, ["one"], ["k"], "number", buckets)
+    single = stage(base.select("k").join(linked.select("k"), "k", "left_anti").join(given, "k", "left").withColumn("one", F.col("g1").isNull().cast("int")), "single")
+    spread = F.when(F.col("class") < WIDE, F.col("g1")).otherwise(F.xxhash64("k"))
+    numbered = number_within(single, ["one"], ["g1", "k"], "number", buckets, spread)
+    n_given = given.count()
+    numbered = numbered.withColumn("number", F.col("number") + F.col("one") * n_given)
     shard, until = F.lit(None).cast("int"), sum(q - taken.get(j, 0) for j, q in enumerate(quotas))
     for j in reversed(range(shards)):
         shard = F.when(F.col("number") < until, j).otherwise(shard)
