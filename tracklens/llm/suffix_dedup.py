@@ -605,4 +605,16 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_suffix_dedup": op3_suffix_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_suffix_dedup": """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+w AS (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 99))) AS p FROM d),
+s AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS m FROM w),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY m ORDER BY doc_id, p) AS n FROM s) WHERE n > 1),
+g AS (SELECT doc_id, p, sum(CASE WHEN p - q <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, p, lag(p, 1, -1000000) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM r)),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM g GROUP BY doc_id, run),
+kept AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS a, a AS b FROM spans UNION ALL SELECT d.doc_id, coalesce(max(s.b), 0), length(any_value(h)) // 2 FROM d LEFT JOIN spans s ON s.doc_id = d.doc_id GROUP BY d.doc_id),
+text_ AS (SELECT k.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM kept k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(sum(s.b - s.a), 0)::BIGINT AS n_removed, count(s.a)::BIGINT AS n_spans, any_value(sha256(unhex(t.h))) AS kept_sha256
+FROM d JOIN text_ t ON t.doc_id = d.doc_id LEFT JOIN spans s ON s.doc_id = d.doc_id GROUP BY d.doc_id, d.h"""
+}
