@@ -79,3 +79,14 @@ def judgment_conflicts(judgments: DataFrame, results: DataFrame, members: DataFr
     met = met.join(keys, "idempotency_key")
     reason = F.when(C("_member").isNull(), "not a member").when(C("frozen").isNull(), "not in ranking").when(C("rank_position") != C("frozen"), "rank differs").when(C("_clash"), "key reused")
     return met.select("judgment_id", reason.alias("reason"), F.coalesce("rank_position", "frozen").alias("rank_position"))
+
+
+def promotions(metrics: DataFrame, baseline: str) -> DataFrame:
+    """(configuration_id, promoted): 10 % more nDCG or 5 points more triplet accuracy overall than the baseline, and
+    no dimension more than 10 points below it."""
+    base = metrics.where(C("configuration_id") == baseline).select("metric_name", "dimension", C("value").alias("base"))
+    met = metrics.where(C("configuration_id") != baseline).join(base, ["metric_name", "dimension"])
+    overall = C("dimension") == "overall"
+    better = overall & (((C("metric_name") == "ndcg_at_10") & (C("value") >= 1.1 * C("base"))) | ((C("metric_name") == "triplet_accuracy") & (C("value") >= C("base") + 0.05)))
+    worse = C("value") < C("base") - 0.1
+    return met.groupBy("configuration_id").agg((F.coalesce(F.bool_or(better), F.lit(False)) & ~F.coalesce(F.bool_or(worse), F.lit(False))).alias("promoted"))

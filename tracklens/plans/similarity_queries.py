@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracklens.functions import scalars as S
-from tracklens.operators import evidence, filters, projection, recommend, similarity
+from tracklens.operators import evaluation, evidence, filters, projection, recommend, similarity
 from tracklens.plans.adapters import view
 from tracklens.plans.base import query
-from tracklens.plans.join_queries import RESULTS, STUDIO, results, studio
+from tracklens.plans.aggregate_queries import METRICS, metrics
+from tracklens.plans.join_queries import RESULTS, STUDIO, TRIPLETS, results, studio
 from tracklens.plans.scalar_queries import fnv_sql
 
 C = F.col
@@ -33,6 +34,12 @@ def k1(spark, sf):
     return neighbours(spark, sf).select("source", "target", "rank", F.round("score", 6).alias("score"), F.round("distance", 6).alias("distance"))
 
 
+@query("j4_pairwise_cosine", f"WITH {KNN} SELECT source, count(*) AS pairs, round(max(score), 6) AS best FROM k GROUP BY source", "tracks")
+def j4(spark, sf):
+    units = similarity.unit_vectors(vectors(spark, sf), True)
+    return similarity.pair_similarities(units, 2).select("source", "pairs", F.round("best", 6).alias("best"))
+
+
 @query("k2_seed_ranking", f"WITH {KNN} SELECT target AS track_id, round(score, 6) AS score FROM k WHERE source = 't000007' AND rank <= 25", "tracks")
 def k2(spark, sf):
     return similarity.rank_for_seed(vectors(spark, sf), "t000007", 25).select("track_id", F.round("score", 6).alias("score"))
@@ -235,6 +242,29 @@ def n2(spark, sf):
     return view(spark, sf, "tracks").select("track_id", F.round(same + 0.5 * F.coalesce(projection.similarity(C("bpm"), F.lit(122.0), 4.0), F.lit(0.0)), 6).alias("score"))
 
 
+@query("n3_frozen_projection")
+def n3(spark, sf):
+    """Axes fitted on one library, coordinates of the other's tracks."""
+    t = view(spark, sf, "tracks")
+    mean, axes = projection.principal_axes(t.where("library_id = 'L1'").select("track_id", "embedding"))
+    return projection.project(t.where("library_id = 'L2'").select("track_id", "embedding"), mean, axes).select("track_id", "x", "y")
+
+
+@query("n4_promotions", f"""
+WITH {RESULTS}, {TRIPLETS}, {METRICS}, b AS (SELECT metric_name, dimension, value AS base FROM metrics WHERE configuration_id = 'c1')
+SELECT configuration_id, coalesce(bool_or(dimension = 'overall' AND ((metric_name = 'ndcg_at_10' AND value >= 1.1 * base) OR (metric_name = 'triplet_accuracy' AND value >= base + 0.05))), false) AND NOT coalesce(bool_or(value < base - 0.1), false) AS promoted FROM metrics JOIN b USING (metric_name, dimension) WHERE configuration_id <> 'c1' GROUP BY configuration_id""", "tracks judgments")
+def n4(spark, sf):
+    return evaluation.promotions(metrics(spark, sf), "c1")
+
+
+@query("n5_tag_divergence", """
+WITH c AS (SELECT l_partkey, [sum(l_quantity)::DOUBLE, sum(l_linenumber)::DOUBLE, count(*)::DOUBLE] AS p, [1.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE] AS q FROM lineitem GROUP BY l_partkey), s AS (SELECT l_partkey, list_transform(p, lambda x: x / list_sum(p)) AS p, list_transform(q, lambda x: x / list_sum(q)) AS q FROM c)
+SELECT l_partkey, round((list_sum(list_transform(list_zip(p, q), lambda t: CASE WHEN t[1] > 0 THEN t[1] * log2(t[1] / ((t[1] + t[2]) / 2)) ELSE 0 END)) + list_sum(list_transform(list_zip(p, q), lambda t: CASE WHEN t[2] > 0 THEN t[2] * log2(t[2] / ((t[1] + t[2]) / 2)) ELSE 0 END))) / 2, 6) AS divergence FROM s""")
+def n5(spark, sf):
+    c = view(spark, sf, "lineitem").groupBy("l_partkey").agg(F.array(F.sum("l_quantity").cast("double"), F.sum("l_linenumber").cast("double"), F.count("*").cast("double")).alias("p"))
+    return c.withColumn("q", F.array(F.lit(1.0), F.lit(2.0), F.lit(1.0))).select("l_partkey", F.round(similarity.divergence("p", "q"), 6).alias("divergence"))
+
+
 def flagship(spark, sf):
     """Each track's nearest tracks that pass the studio filter."""
     f = filters.StudioFilter(moods=["warm", "hypnotic", "euphoric"])
