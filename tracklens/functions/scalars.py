@@ -194,9 +194,8 @@ def norm(vector: Column) -> Column:
 
 
 def l2_normalize(vector: Column) -> Column:
-    """A unit vector; null if a value isn't finite or all are zero."""
-    good = F.forall(vector, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))) & (norm(vector) > 0)
-    return F.when(good, F.transform(vector, lambda x: x.cast("double") / norm(vector)))
+    """A unit vector; null if a value isn't finite or all are zero. The length is summed once, in the fold that ends in the division."""
+    return F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"), lambda s: F.when((s > 0) & ~F.isnan(s) & (s < float("inf")), F.transform(vector, lambda x: x.cast("double") / F.sqrt(s))))
 
 
 def suggested_moment(bpm: Column, energy_pct: Column, valence_pct: Column) -> Column:
