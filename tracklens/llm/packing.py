@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import keyed, number_within, stage, table
+from tracklens.llm.common import keyed, number_within, partitions, stage, table
 from tracklens.llm.tokens import encode
 
 CAPACITY = 2048
@@ -229,7 +229,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, root: str | None = None, wit
             keep = [n for n in batch.schema.names if n not in ("k", "number")]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(sequence), pa.array(offset)], [*keep, "sequence_id", "offset"])
 
-    numbered = number_within(cuts, ["length"], ["k", "piece"], "number")
+    numbered = number_within(cuts, ["length"], ["k", "piece"], "number", min(1024, max(64, partitions(spark))))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", sequence_id long, offset long"
     columns = [x.split()[0] for x in PIECE.split(", ")] + ["ids"] * with_ids
     return numbered.select(*columns, "number").mapInArrow(place, schema)
