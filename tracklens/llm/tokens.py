@@ -86,7 +86,8 @@ def count_tokens(docs: DataFrame, cache: str, limit: int = LIMIT, root: str | No
 
     chosen = texts.withColumn("first", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).join(misses, ["content", "first"], "left_semi")
     chosen.select("content", "text").mapInArrow(lengths, "content binary, n_tokens long").select("content", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    return named.join(stored(), "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # staged, so that plain tables meet here: AQE can split a digest with very many rows
+    return named.join(stage(stored(), "counts"), "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
