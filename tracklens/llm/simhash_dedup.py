@@ -172,7 +172,8 @@ def near_groups(docs_keyed: DataFrame, width: int = 3, radius: int = 3) -> DataF
     roots = near_components(fps, radius)
     alone = fps.groupBy("fp").agg(F.min("k").alias("first"))
     linked = alone.join(roots, "fp", "left").select("fp", F.coalesce("root", "first").alias("root"))
-    return fps.join(linked, "fp")
+    # staged, so that plain tables meet here: AQE can split a fingerprint with very many rows
+    return fps.join(stage(linked, "roots"), "fp")
 
 
 def simhash_components(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
