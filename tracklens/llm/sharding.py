@@ -45,7 +45,7 @@ def propagate(linked: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
         best = open_.groupBy(*GROUP).agg(F.max(F.struct("n", (-F.col("shard")).alias("minus"))).alias("b")).select(*GROUP, F.col("b.n").alias("best_n"), (-F.col("b.minus")).alias("best"))
         full = F.element_at(rooms, F.col("shard") + 1) <= 0  # of equal shards the first with room takes the group
         better = (F.col("best_n") > F.col("n")) | ((F.col("best_n") == F.col("n")) & ((F.col("best") < F.col("shard")) | full))
-        wishes = votes.join(best, GROUP).where(better).select(*GROUP, "shard", "best")
+        wishes = stage(votes.join(best, GROUP).where(better).select(*GROUP, "shard", "best"), "wishes")
         movers = stage(linked.join(wishes, [*GROUP, "shard"]), "movers")
         if movers.isEmpty():
             break
@@ -61,7 +61,7 @@ def give_up(linked: DataFrame, quotas: list[int], buckets: int) -> DataFrame:
     Groups are classed by the power of two of their size: a shard and class are the bounded keys by which
     rows are counted and numbered.
     """
-    size = linked.groupBy(*GROUP).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("class"))
+    size = stage(linked.groupBy(*GROUP).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("class")), "classes")
     classed = stage(linked.join(size, GROUP), "classed")
     counts = {(r["shard"], r["class"]): r["count"] for r in classed.groupBy("shard", "class").count().collect()}
     over: list[tuple[int, int, int]] = []
@@ -88,7 +88,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = 30) -> DataFrame
     )
     n = base.count()
     quotas = _quotas(n, shards)
-    several = base.groupBy(*GROUP).count().where("count > 1").select(*GROUP)
+    # staged, here and below, so that plain tables meet in joins: AQE can split a group with very many rows
+    several = stage(base.groupBy(*GROUP).count().where("count > 1").select(*GROUP), "several")
     buckets = 4 * partitions(docs.sparkSession)
     linked = stage(base.select("k", *GROUP).join(several, GROUP, "left_semi").withColumn("one", F.lit(0)), "groups")
     dealt = number_within(linked, ["one"], ["k"], "number", buckets)
