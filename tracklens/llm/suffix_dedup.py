@@ -43,6 +43,8 @@ SPAN = WIDTH - GRAM + 1
 LEFT = WIDTH - GRAM
 #: Contexts of a gram from which it is split by neighbouring bytes; rows an owner holds before it sends on.
 HOT, HELD = 1000, 4_000_000
+#: Contexts that a task gathers before it deals them out.
+GATHERED = 50_000
 #: Bytes hashed at once.
 CHUNK = 1 << 20
 #: Words of 8 bytes that the shallow sort looks at.
@@ -294,13 +296,19 @@ def _unpack(data):
 
 
 def _fetch_contexts(owners: int):
-    """Step 3."""
+    """Step 3. Contexts are gathered over many texts, so that an owner gets few and large arrays."""
+
+    def dealt(out):
+        import numpy as np
+
+        every = np.concatenate(out)
+        return _batch(_deal(every, _owner(every["h"], owners), INDEX))
 
     def process(_, rows):
         import numpy as np
 
         _, kind, context, _ = _types()
-        asked = []
+        asked, out, size = [], [], 0
         for what, data in rows:
             if what == REQUEST:
                 asked.append(np.frombuffer(data, kind))
@@ -309,15 +317,17 @@ def _fetch_contexts(owners: int):
                 asked = np.concatenate(asked) if asked else np.zeros(0, kind)
                 asked = asked[np.argsort(asked["k"], kind="stable")]
             docs = _unpack(data)
-            out = []
             for k, text in zip(docs["k"].to_pylist(), docs["text"], strict=True):
                 a, b = np.searchsorted(asked["k"], k), np.searchsorted(asked["k"], k, side="right")
                 if a < b:
                     raw = np.frombuffer(text.as_py().encode(), np.uint8)
                     out.append(_contexts(raw, asked[a:b], context))
-            if out:
-                every = np.concatenate(out)
-                yield _batch(_deal(every, _owner(every["h"], owners), INDEX))
+                    size += len(out[-1])
+            if size >= GATHERED:
+                yield dealt(out)
+                out, size = [], 0
+        if out:
+            yield dealt(out)
 
     return lambda batches: _by_target(batches, process)
 
