@@ -26,7 +26,7 @@ from tracklens.llm.common import keyed, number_within, partitions, stage, table
 SHARDS = 24
 SLACK = 0.25
 #: Groups of at least 2**WIDE members are spread by member when they are numbered.
-WIDE = 15
+WIDE = 8
 GROUP = ["g1", "g2"]
 
 
