@@ -188,6 +188,57 @@ def test_owner_that_holds_too_many_rows_loses_nothing(monkeypatch):
         assert all(min(ks) in asked and min(ks) not in ranges for ks in first.values())
 
 
+def requests_of(monkeypatch, held, rows, step=20):
+    """(all requests, all ranges) of one owner that holds at most ``held`` rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "HELD", held)
+    _, request, _, span = suffix_dedup._types()
+    data = [rows[i : i + step].tobytes() for i in range(0, len(rows), step)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(data), pa.int32()), pa.array([suffix_dedup.INDEX] * len(data), pa.int32()), pa.array(data, pa.binary())], ["target", "kind", "data"])
+    asked, ranges = [], []
+    for out in suffix_dedup._compare_contexts(3)(iter([batch])):
+        for what, raw in zip(out.column("kind").to_pylist(), out.column("data").to_pylist()):
+            if what == suffix_dedup.REQUEST:
+                asked += np.frombuffer(raw, request).tolist()
+            else:
+                ranges += np.frombuffer(raw, span).tolist()
+    return sorted(asked), sorted(ranges)
+
+
+def grams(n, several=9, contexts=40):
+    """n anchors: half of few grams with many contexts, half of grams seen once."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows = np.zeros(n, suffix_dedup._types()[0])
+    rows["h"] = np.where(rng.random(n) < 0.5, rng.integers(0, several, n), rng.permutation(n) + 1000)
+    rows["c"], rows["k"], rows["a"], rows["hi"] = rng.integers(0, contexts, n), rng.permutation(n), 200, 5
+    return rows
+
+
+@pytest.mark.parametrize("held", [5, 50, 300])
+def test_owner_that_holds_few_rows_sends_each_request_once(held, monkeypatch):
+    asked, _ = requests_of(monkeypatch, held, grams(2000))
+    assert len({a[0] for a in asked}) == len(asked) > 100
+
+
+@pytest.mark.parametrize("hot", [1, 1000])
+@pytest.mark.parametrize("held", [5, 60])
+def test_repeated_strings_match_brute_force_when_owners_hold_few_rows(held, hot, spark, docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "HELD", held)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # many arrays for each owner
+    try:
+        got = suffix_dedup.removal_digests(docs).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = ordered(docs)
+    want = sorted(((i, *x) for (i, _), x in zip(rows, brute_removed([t for _, t in rows]))), key=repr)
+    assert sorted((tuple(r) for r in got), key=repr) == want
+
+
 def test_deep_shallow_order_is_lexicographic():
     import numpy as np
 

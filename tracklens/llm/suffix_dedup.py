@@ -21,7 +21,8 @@ place. So only suffixes that start at anchors (one in about 32 bytes) are gather
 
 Rows travel as packed arrays, a few for each task and owner; texts as compressed Arrow batches. A gram with
 very many contexts (HOT) is split by the bytes beside it, so no common phrase gathers in one task. An
-owner that gathers too many rows sends on those it already knows to be needed.
+owner that gathers too many rows (HELD) deals them to files by gram and settles one file after the other, so
+whether a gram has several contexts, or is hot, is always told from all of its contexts.
 
 Defined results: a null text counts as empty; texts shorter than WIDTH bytes lose nothing; keys are unique
 (repeated doc_ids and nulls are put in the order of ``keyed``, so of repeated rows the first stays); other
@@ -41,8 +42,8 @@ WIDTH, GRAM = 100, 32
 #: Strings with a gram at one of SPAN places.
 SPAN = WIDTH - GRAM + 1
 LEFT = WIDTH - GRAM
-#: Contexts of a gram from which it is split by neighbouring bytes; rows an owner holds before it sends on.
-HOT, HELD = 1000, 4_000_000
+#: Contexts of a gram from which it is split by neighbouring bytes; rows an owner holds before it deals them to FILES.
+HOT, HELD, FILES = 1000, 4_000_000, 64
 #: Contexts that a task gathers before it deals them out.
 GATHERED = 50_000
 #: Bytes hashed at once.
@@ -202,6 +203,36 @@ def _by_target(batches, process):
         yield from process(target, ((kind, data) for _, kind, data in rows))
 
 
+class Files:
+    """Rows dealt to unnamed local files by a hash of a value; each file can be read once."""
+
+    def __init__(self, kind, n: int):
+        import tempfile
+
+        self.kind, self.rows, self.files = kind, [0] * n, [tempfile.TemporaryFile() for _ in range(n)]
+
+    def put(self, rows, values) -> None:
+        import numpy as np
+
+        # mixed before, as the values may be those that dealt the rows to this owner
+        for i, part in _parts(_owner(_mix(np.asarray(values) ^ np.uint64(0xA0761D6478BD642F)), len(self.files))):
+            self.files[i].write(rows[part].tobytes())
+            self.rows[i] += len(part)
+
+    def pieces(self, i: int):
+        import numpy as np
+
+        self.files[i].seek(0)
+        while data := self.files[i].read(HELD * self.kind.itemsize):
+            yield np.frombuffer(data, self.kind)
+        self.files[i].close()
+
+    def all(self, i: int):
+        import numpy as np
+
+        return np.concatenate([np.zeros(0, self.kind), *self.pieces(i)])
+
+
 def _list_anchors(owners: int):
     """Step 1."""
 
@@ -232,28 +263,42 @@ def _compare_contexts(owners: int):
         out["hot"] = several >= HOT
         return _deal(out, _owner(out["k"], owners), REQUEST)
 
-    def process(_, rows):
+    def passed_on(ranges):
+        return _deal(ranges, _owner(ranges["k"], owners), RANGE)
+
+    def settle(rows):
+        import numpy as np
+
+        stay, ranges = resolve(rows)
+        _, at, times = np.unique(stay["h"], return_inverse=True, return_counts=True)
+        several = times[at] if len(stay) else np.zeros(0, np.int64)
+        return passed_on(ranges) + ask(stay[several > 1], several[several > 1])
+
+    def settle_many(files, i):
+        """A file that is too long is dealt again by context; its grams' contexts are counted over all parts."""
         import numpy as np
 
         kind = _types()[0]
-        held, size = [np.zeros(0, kind)], 0
-        asked = np.zeros(0, np.uint64)  # grams whose contexts all go on; one row of each is held
-
-        def settle(last: bool):
-            nonlocal held, size, asked
-            stay, ranges = resolve(np.concatenate(held))
-            out = _deal(ranges, _owner(ranges["k"], owners), RANGE)
-            _, at, times = np.unique(stay["h"], return_inverse=True, return_counts=True)
-            several = times[at] if len(stay) else np.zeros(0, np.int64)
-            on = (several > 1) | np.isin(stay["h"], asked)
-            out += ask(stay[on], np.where(np.isin(stay["h"][on], asked), HOT, several[on]))
-            if not last:
-                first = np.unique(stay["h"], return_index=True)[1]
-                asked = np.union1d(asked, stay["h"][on])
-                held = [stay[first]]
-                size = len(first)
-            return out
+        parts, left = Files(kind, -(-files.rows[i] // HELD)), Files(kind, 1)
+        for piece in files.pieces(i):
+            parts.put(piece, piece["c"])
+        grams, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for j in range(len(parts.rows)):
+            stay, ranges = resolve(parts.all(j))
+            yield _batch(passed_on(ranges))
+            left.put(stay, stay["h"])
+            new, n = np.unique(stay["h"], return_counts=True)
+            grams, at = np.unique(np.concatenate([grams, new]), return_inverse=True)
+            times = np.bincount(at, np.concatenate([times, n]), len(grams)).astype(np.int64)
+        for stay in left.pieces(0):
+            several = times[np.searchsorted(grams, stay["h"])]
+            yield _batch(ask(stay[several > 1], several[several > 1]))
 
+    def process(_, rows):
+        import numpy as np
+
+        kind = _types()[0]
+        held, size, files = [np.zeros(0, kind)], 0, None
         for what, data in rows:
             if what == RANGE:
                 span = np.frombuffer(data, _types()[3])
@@ -262,8 +307,23 @@ def _compare_contexts(owners: int):
             held.append(np.frombuffer(data, kind))
             size += len(held[-1])
             if size > HELD:
-                yield _batch(settle(False))
-        yield _batch(settle(True))
+                stay, ranges = resolve(np.concatenate(held))
+                yield _batch(passed_on(ranges))
+                held, size = [stay], len(stay)
+                if size > HELD // 2:
+                    files = files or Files(kind, FILES)
+                    files.put(stay, stay["h"])
+                    held, size = [stay[:0]], 0
+        if files is None:
+            yield _batch(settle(np.concatenate(held)))
+            return
+        rest = np.concatenate(held)
+        files.put(rest, rest["h"])
+        for i in range(FILES):
+            if files.rows[i] > HELD:
+                yield from settle_many(files, i)
+            elif files.rows[i]:
+                yield _batch(settle(files.all(i)))
 
     return lambda batches: itertools.chain(_by_target(batches, process), [_batch([])])
 
