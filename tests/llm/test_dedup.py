@@ -224,6 +224,36 @@ def test_owner_that_holds_few_rows_sends_each_request_once(held, monkeypatch):
     assert len({a[0] for a in asked}) == len(asked) > 100
 
 
+@pytest.mark.parametrize("hot", [30, 1000])
+@pytest.mark.parametrize("held", [5, 50, 300])
+def test_route_of_a_gram_does_not_depend_on_rows_held(held, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rows = grams(2000)
+    whole = requests_of(monkeypatch, 10**6, rows)
+    assert requests_of(monkeypatch, held, rows) == whole
+    routes = defaultdict(set)
+    for _, h, *_, is_hot in whole[0]:
+        routes[h].add(is_hot)
+    assert {len(r) for r in routes.values()} == {1}
+
+
+def test_passage_whose_copies_come_far_apart_goes(spark, monkeypatch):
+    """A gram with two contexts at first, and a copy of one of them when the owner has let go of its first rows."""
+    import random
+
+    monkeypatch.setattr(suffix_dedup, "HELD", 20)
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passage = word(100)
+    texts = [word(60) + passage + word(60) for _ in range(2)] + [word(400) for _ in range(40)] + [passage, word(60) + passage + word(60)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        got = suffix_dedup.removal_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(tuple(r) for r in got) == [(i, *x) for i, x in enumerate(brute_removed(texts))]
+
+
 @pytest.mark.parametrize("hot", [1, 1000])
 @pytest.mark.parametrize("held", [5, 60])
 def test_repeated_strings_match_brute_force_when_owners_hold_few_rows(held, hot, spark, docs, monkeypatch):
