@@ -37,7 +37,7 @@ def k1(spark, sf):
 @query("j4_pairwise_cosine", f"WITH {KNN} SELECT source, count(*) AS pairs, round(max(score), 6) AS best FROM k GROUP BY source", "tracks")
 def j4(spark, sf):
     units = similarity.unit_vectors(vectors(spark, sf), True)
-    return similarity.pair_similarities(units, 2).select("source", "pairs", F.round("best", 6).alias("best"))
+    return similarity.pair_similarities(units).select("source", "pairs", F.round("best", 6).alias("best"))
 
 
 @query("k2_seed_ranking", f"WITH {KNN} SELECT target AS track_id, round(score, 6) AS score FROM k WHERE source = 't000007' AND rank <= 25", "tracks")
