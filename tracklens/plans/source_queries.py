@@ -66,8 +66,12 @@ def s11(spark, sf):
     return sinks.read_snapshot(spark, path, 1).select("track_id", "title")
 
 
+def every_item(spark, sf):
+    return view(spark, sf, "events").where("event_type = 'click'").selectExpr("user_id", "concat('Crate ', user_id) AS crate", "event_id AS position", "concat('t', lpad(CAST(event_id % 900 AS STRING), 6, '0')) AS track_id")
+
+
 def items(spark, sf):
-    return view(spark, sf, "events").where("event_type = 'click' AND user_id % 10 = 0").selectExpr("concat('Crate ', user_id) AS crate", "event_id AS position", "concat('t', lpad(CAST(event_id % 900 AS STRING), 6, '0')) AS track_id")
+    return every_item(spark, sf).where("user_id % 10 = 0").drop("user_id")
 
 
 ITEMS = "items AS (SELECT concat('Crate ', user_id) AS crate, event_id AS position, concat('t', lpad(CAST(event_id % 900 AS VARCHAR), 6, '0')) AS track_id FROM events WHERE event_type = 'click' AND user_id % 10 = 0)"
@@ -97,7 +101,7 @@ def s13(spark, sf):
 def s14(spark, sf):
     t = exported(spark, sf)
     assigned = t.where("cluster < 4").select("track_id", (C("cluster") - 1).alias("cluster"), F.concat(F.lit("Cluster "), C("cluster").cast("string")).alias("cluster_name"), F.when(C("cluster") > 0, "Peak time").alias("moment"), F.xxhash64("track_id").bitwiseAND(F.lit((1 << 40) - 1)).alias("position"))
-    return sinks.collection_lines("x1", t, items(spark, sf), assigned, "Tracklens").orderBy("section", "major", "minor")
+    return sinks.collection_lines("x1", t, every_item(spark, sf).drop("user_id"), assigned, "Tracklens").orderBy("section", "major", "minor")
 
 
 @query("s16_partition_replace", "SELECT library_id, track_id, CASE WHEN library_id = 'L2' THEN 'new' ELSE 'old' END AS state FROM tracks WHERE library_id = 'L1' OR cluster < 3", "tracks")
