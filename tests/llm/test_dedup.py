@@ -109,10 +109,93 @@ def test_large_buckets_are_searched_by_neighbours():
     assert len(fps) > 299 and pairs == want  # 299 flips of 12 bits: the lookup path
 
 
-def test_simhash_dedup_keeps_one_of_each_group(docs):
+def near_texts(n, seed, least=40, most=400):
+    """Texts and, for each, copies with some words changed; [(id, text, id of the original)]."""
+    import random
+
+    rng = random.Random(seed)
+    frequent = ["".join(rng.choice("abcdefghij") for _ in range(3)) for _ in range(20)]
+    word = lambda: rng.choice(frequent) if rng.random() < 0.4 else "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 7)))
+    out = []
+    for i in range(n):
+        words = [word() for _ in range(rng.randint(least, most))]
+        out.append((10 * i, " ".join(words), 10 * i))
+        for c in range(i % 4):
+            copy = list(words)
+            for _ in range(max(1, int(len(words) * rng.uniform(0.002, 0.04)))):
+                copy[rng.randrange(len(copy))] = word()
+            out.append((10 * i + 1 + c, " ".join(copy), 10 * i))
+    return out
+
+
+def similarity(x, y, width=5):
+    sets = []
+    for text in (x, y):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
+    a, b = sets
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_copies_are_found_and_other_texts_stay(spark):
+    rows = near_texts(300, 3)
+    kept = {r.doc_id for r in simhash_dedup.dedup(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(5)).collect()}
+    groups = defaultdict(list)
+    for i, text, base in rows:
+        groups[base].append((i, text))
+    pairs = found = 0
+    for members in groups.values():
+        linked = {i: {j for j, u in members if j != i and similarity(t, u) >= 0.8} for i, t in members}
+        assert all(i in kept for i, near in linked.items() if not near)
+        assert any(i in kept for i, _ in members)
+        for i, t in members:
+            for j in linked[i]:
+                pairs += i < j
+                found += i < j and j not in kept
+    assert pairs > 200 and found >= 0.9 * pairs
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_no_link_within_the_radius_is_lost(spark, block):
+    """One large group whose members are alike only in part, against all pairs."""
+    import random
+
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rng.randint(0, 5)):
+            copy[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    rows += [(1000 + i, t) for i, t, _ in near_texts(20, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    fps = {i: simhash_dedup.word_fingerprint(t) for i, t in rows}
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, t in rows:
+        for b, u in rows:
+            if b < a and (fps[a] ^ fps[b]).bit_count() <= 6 and similarity(t, u) >= 0.8:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    want = {i: find(i) for i in root if any(find(j) == find(i) for j in root if j != i)}
+    assert {r.node: r.root for r in simhash_dedup.near_copies(keyed(df), block=block).collect()} == want
+
+
+def test_near_dedup_of_odd_rows(spark, docs, rows, empty):
     out = simhash_dedup.dedup(docs)
-    groups = {r.root for r in simhash_dedup.near_groups(keyed(docs)).collect()}
-    assert out.columns == docs.columns and out.count() == len(groups)
+    assert out.columns == docs.columns
+    kept = [r.text for r in out.collect()]
+    assert sum(not norm(t).strip() for t in kept) == 1  # texts without words are alike
+    assert {norm(t) for t in kept} <= {norm(t) for _, t, _ in rows} and len(kept) < len(rows)
+    assert simhash_dedup.dedup(empty).count() == 0
+    long_ = [(1, "word " * 200_000 + "end"), (2, "word " * 200_000 + "end"), (3, "x" * 1_000_000)]
+    assert sorted(r.doc_id for r in simhash_dedup.dedup(spark.createDataFrame(long_, "doc_id long, text string")).collect()) == [1, 3]
 
 
 def brute_removed(texts):

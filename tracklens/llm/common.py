@@ -103,16 +103,17 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     Large-star and small-star rounds over staged tables: every round hangs a node's larger neighbours,
     then its smaller ones, on the smallest. A star graph is the fixed point; the number of rounds grows
     with the logarithm of a component's size. A node with many neighbours only needs their minimum, so
-    the grouping combines before the shuffle.
+    the grouping combines before the shuffle; minima are staged, so that the joins have plain tables on both
+    sides and AQE can split a node with very many neighbours.
     """
     now = stage(_local_forest(edges.where("a <> b").select("a", "b")), "edges")
     for _ in range(rounds):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: neighbours above a node hang on the smallest of node and neighbours
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = stage(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("m")), "least")
         large = stage(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # small star: a node and its smaller neighbours hang on the smallest of them
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small_least = stage(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         joined = large.join(small_least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(small_least.select("a", F.col("m").alias("b"))).distinct()
         new = stage(small, "small")

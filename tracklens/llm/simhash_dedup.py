@@ -14,18 +14,33 @@ fingerprints were one row before). A large bucket is not compared all against al
 fingerprints looks up its neighbours within the radius on the bits the table leaves out, so the work of a
 bucket is bounded by its size times a constant. Components are built from those forests.
 
-Defined results: a null text counts as empty; a null doc_id sorts first; an empty table gives an empty
-result; other columns are ignored.
+``dedup`` removes near copies: texts whose distinct shingles of ``WIDTH`` (5) words have a Jaccard similarity of
+``SIMILARITY`` (0.8) or more. Candidates come from the same covering tables, over fingerprints of a text's
+distinct words, which an edit moves less than it moves shingles: of pairs at 0.8 or more 95 % differ in at
+most ``RADIUS`` (6) bits. Every link is then verified on the shingles themselves. A bucket's rows first
+meet its smallest k, then, as long as the bucket holds several components, other rows, a few at first and
+eight times as many in every round, up to all of them; pairs within a component are skipped. So a group of
+near copies takes a few links a row, and no link between components is lost.
+
+Defined results: a null text counts as empty; a null doc_id sorts first; texts without words are alike;
+texts are read whole, however long; an empty table gives an empty result; other columns are ignored by
+``simhash_components`` and pass through ``dedup``.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import components, keep_rows, keyed, partitions, stage, table
+from tracklens.llm.common import components, keyed, partitions, stage, table
 
 BITS = 64
+#: What makes a near copy for ``dedup``, and the radius of its candidate search.
+WIDTH, SIMILARITY, RADIUS = 5, 0.8, 6
+#: Rows of a bucket that meet as many others in one task; larger buckets meet block by block.
+BLOCK = 4096
 
 
 def masks(radius: int) -> list[int]:
@@ -52,9 +67,22 @@ def shingle_hashes(text: str | None, width: int):
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
+    return majority(shingle_hashes(text, width))
+
+
+def word_fingerprint(text: str | None) -> int:
+    """Fingerprint of the distinct words of a text."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = set((text or "").encode().lower().split())
+    return majority(np.fromiter((xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)))
+
+
+def majority(h) -> int:
+    """The bits that over half of the hashes have set."""
     import numpy as np
 
-    h = shingle_hashes(text, width)
     if not len(h):
         return 0
     ones = np.zeros(BITS, np.int64)
@@ -63,15 +91,16 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs_keyed: DataFrame, width: int = 3) -> DataFrame:
-    """(k, doc_id, fp) with the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs_keyed: DataFrame, width: int | None = 3) -> DataFrame:
+    """(k, doc_id, fp) with the fingerprint's 64 bits as a signed long; without width, of distinct words."""
+    bits_of = word_fingerprint if width is None else lambda text: fingerprint(text, width)
 
     def of(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            fp = np.fromiter((fingerprint(x.as_py(), width) for x in batch.column("text")), np.uint64, batch.num_rows)
+            fp = np.fromiter((bits_of(x.as_py()) for x in batch.column("text")), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), pa.array(fp.view(np.int64))], ["k", "doc_id", "fp"])
 
     return docs_keyed.select("k", "doc_id", "text").mapInArrow(of, "k long, doc_id long, fp long")
@@ -183,10 +212,126 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 3) -> Data
     return found.join(ids, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of docs, all their columns; of each component the row with the smallest doc_id stays."""
+def shingle_sets(docs_keyed: DataFrame, width: int) -> DataFrame:
+    """(k, shingles): the distinct hashes of a text's shingles."""
+
+    def of(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x.as_py(), width)).view(np.int64) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(sets, pa.list_(pa.int64()))], ["k", "shingles"])
+
+    return docs_keyed.select("k", "text").mapInArrow(of, "k long, shingles array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are alike enough."""
+    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def _mixed(rows: DataFrame, block: int) -> DataFrame:
+    """(key, main, na, nb) of buckets that hold several labels: the largest label, blocks of the others and of all."""
+    labels = rows.groupBy("key", "label").count()
+    about = labels.groupBy("key").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels"))
+    return about.where("labels > 1").select("key", "main", F.ceil((F.col("n") - F.col("most")) / block).cast("int").alias("na"), F.ceil(F.col("n") / block).cast("int").alias("nb"))
+
+
+def _block_pairs(rows: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(key, i, j, side, k, fp, label) of staged (key, k, fp, label).
+
+    Side 0 has the rows outside a bucket's largest label, side 1 all of them; block i of the one side meets
+    block j of the other, so a large bucket is never in one task, and its largest label doesn't meet itself.
+    """
+    d = rows.join(mixed, "key")
+    at = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = d.where("label <> main").select("key", at("na").alias("i"), every("nb").alias("j"), F.lit(0).alias("side"), "k", "fp", "label")
+    return few.union(d.select("key", every("na").alias("i"), at("nb").alias("j"), F.lit(1).alias("side"), "k", "fp", "label"))
+
+
+def _meet(radius: int, most: int):
+    """Rows in the order of (key, i, j, side, k): pairs (a, b) of other labels within the radius, b the smaller;
+
+    of each row of side 0 those among the first ``most`` rows of side 1 that lie within the radius.
+    """
+
+    def pairs(side, k, fp, label):
+        import numpy as np
+
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        for at in range(0, len(x), 256):
+            own = x[at : at + 256]
+            near = np.bitwise_count(fp[own][:, None] ^ fp[y][None]) <= radius
+            near &= k[own][:, None] != k[y][None]
+            near &= (np.cumsum(near, 1) <= most) & (label[own][:, None] != label[y][None])
+            i, j = np.nonzero(near)
+            a, b = k[own[i]], k[y[j]]
+            yield np.maximum(a, b), np.minimum(a, b)
+
+    def of(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        names = ("key", "i", "j", "side", "k", "fp", "label")
+        left = None
+        for batch in itertools.chain(batches, [None]):
+            new = None if batch is None else [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+            rows = new if left is None else left if new is None else [np.concatenate(p) for p in zip(left, new)]
+            if rows is None or not len(rows[0]):
+                continue
+            change = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0) | (np.diff(rows[2]) != 0)) + 1
+            starts = [0, *change.tolist(), len(rows[0])]
+            done = starts if new is None else starts[:-1]  # the last group may go on in the next batch
+            for s, e in zip(done, done[1:]):
+                for a, b in pairs(rows[3][s:e], rows[4][s:e], rows[5][s:e].view(np.uint64), rows[6][s:e]):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            left = [r[done[-1] :] for r in rows]
+
+    return of
+
+
+def near_copies(docs_keyed: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """(node, root): for texts with a near copy, the smallest k of their component."""
+    spark = docs_keyed.sparkSession
+    fps = stage(fingerprints(docs_keyed, None).select("k", "fp"), "words")
+    bits = [_signed(m) for m in masks(radius)]
+    dealt = fps.select("k", "fp", F.explode(F.sequence(F.lit(0), F.lit(len(bits) - 1))).alias("v")).select("k", "fp", F.xxhash64("v", F.col("fp").bitwiseAND(F.element_at(F.lit(bits), F.col("v") + 1))).alias("key"))
+    least = stage(dealt.groupBy("key").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    met = stage(dealt.join(least.select("key", "first"), "key"), "met")
+
+    sets = stage(shingle_sets(docs_keyed.select("k", "text").join(met.select("k").distinct(), "k", "left_semi"), width), "shingles")
+    firsts = met.where("k > first").select(F.col("k").alias("a"), F.col("first").alias("b"), "fp").distinct()
+    other = fps.select(F.col("k").alias("b"), F.col("fp").alias("fp2"))
+    pairs = firsts.join(other, "b").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius).select("a", "b")
+    tested = stage(pairs, "pairs")
+    links = stage(_verified(tested, sets, similarity), "links")
+    largest = least.agg(F.max("n")).first()[0] or 0
+    most = 1
+    while True:
+        roots = stage(components(links), "near-roots")
+        if most >= min(largest, block):
+            return roots
+        most *= 8
+        named = stage(met.join(roots, F.col("k") == F.col("node"), "left").select("key", "k", "fp", F.coalesce("root", "k").alias("label")), "named")
+        mixed = stage(_mixed(named, block), "mixed")
+        if mixed.isEmpty():
+            return roots
+        dealt_pairs = _block_pairs(named, mixed).repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "k")
+        found = dealt_pairs.mapInArrow(_meet(radius, most), "a long, b long").distinct()
+        new = stage(found.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.union(new)
+        links = links.union(stage(_verified(new, sets, similarity), "links"))
+
+
+def dedup(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, all their columns; of each component of near copies the row with the smallest doc_id stays."""
     rows = keyed(docs, row=True)
-    return keep_rows(rows, near_groups(rows, width, radius).where(F.col("k") == F.col("root")))
+    gone = near_copies(rows, width, similarity, radius).where("node <> root").select(F.col("node").alias("k"))
+    return rows.select("k", "_row").join(gone, "k", "left_anti").select("_row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
