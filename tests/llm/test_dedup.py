@@ -44,11 +44,21 @@ def test_exact_groups_match_brute_force(name, request):
 
 
 def test_directory_doubles_until_buckets_fit():
-    d = exact_dedup.Directory({p: 3 for p in range(0, 1 << exact_dedup.MAX_DEPTH, 64)}, capacity=10)
+    d = exact_dedup.Directory({p: 3 for p in range(0, 1 << 14, 64)}, 10, 14)
     assert d.depth > 0 and max(d.buckets.values()) <= 10
     assert sum(1 << (d.depth - depth) for depth, _ in d.buckets) == 1 << d.depth
-    one = exact_dedup.Directory({5: 1000}, capacity=10)  # a prefix of the greatest depth can't split
-    assert max(one.buckets.values()) == 1000 and one.depth == exact_dedup.MAX_DEPTH
+    one = exact_dedup.Directory({5: 1000}, 10, 14)  # a single prefix can't split
+    assert max(one.buckets.values()) == 1000 and one.depth == 14
+
+
+def test_directory_of_entries_has_several_buckets_a_partition(spark):
+    from pyspark.sql import functions as F
+
+    entries = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    even = exact_dedup.directory_of(entries, None)
+    assert len(even.buckets) >= exact_dedup.BUCKETS * n and max(even.buckets.values()) <= -(-5000 // (exact_dedup.BUCKETS * n))
+    assert max(exact_dedup.directory_of(entries, 40).buckets.values()) <= 40
 
 
 def test_exact_dedup_keeps_whole_rows(docs, rows):

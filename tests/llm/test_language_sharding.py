@@ -26,9 +26,10 @@ def test_held_out_accuracy(spark):
 
 def test_words_first_then_shorter_grams():
     model = language.Model([("a", "tree", 9), ("b", "baum", 9)], [("a", 4, "^tre", 5), ("b", 4, "^bau", 5), ("a", 1, "z", 7), ("b", 1, "z", 1)])
-    assert model.score_word("tree") is model.words["tree"]
-    assert np.allclose(model.score_word("tre"), model.grams["^tre"])  # no other n-gram of it is known
-    assert np.allclose(model.score_word("zz"), model.grams["z"])
+    gram = lambda g: model.gram_logs[model.grams[g]]
+    assert np.allclose(model.score_word("tree"), model.word_logs[model.words["tree"]])
+    assert np.allclose(model.score_word("tre"), gram("^tre"))  # no other n-gram of it is known
+    assert np.allclose(model.score_word("zz"), gram("z"))
     assert not model.score_word("qq").any()
 
 
@@ -48,7 +49,65 @@ def test_learning_reads_neither_held_out_rows_nor_other_columns(spark):
     spoilt = [(i, "zzz" if held(i) else t, "xx" if held(i) else lang) for i, t, lang in rows]
     schema = "doc_id long, text string, lang string"
     a, b = (language.learn(spark.createDataFrame(r, schema)) for r in (rows, spoilt))
-    assert a.langs == b.langs == ["de", "en"] and {k: v.tolist() for k, v in a.words.items()} == {k: v.tolist() for k, v in b.words.items()}
+    assert a.langs == b.langs == ["de", "en"] and a.words == b.words and a.word_logs.tolist() == b.word_logs.tolist()
+
+
+def test_a_language_of_one_rare_word_is_known(spark):
+    ids = [i for i in range(100) if not held(i)]
+    rows = [(i, f"some english words number {i}", "en") for i in ids[:20]] + [(ids[20], "omega", "xx"), (ids[21], "omega", None), (ids[22], "हिन्दी में", "hi"), (ids[23], "हिन्दी", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs, language.learn(docs)).collect()}
+    assert [got[i] for i in ids[19:24]] == ["en", "xx", "xx", "hi", "hi"]
+    assert language.words_of("हिन्दी") == ["हिन्दी"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_prediction_matches_a_plain_reading(spark, seed):
+    """Word-first backoff written out plainly, over all words of all rows."""
+    import math
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for i in range(120):
+        lang = rng.choice(["aa", "bb", "cc"])
+        letters = {"aa": "abcde", "bb": "cdefg", "cc": "efghé"}[lang]
+        rows.append((i, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 12))), lang))
+    learned = [(t, lang) for i, t, lang in rows if not held(i)]
+    langs = sorted({lang for t, lang in learned if t})
+    words, grams = Counter(), [Counter() for _ in range(5)]
+    for t, lang in learned:
+        for w in t.split():
+            words[w, lang] += 1
+            for n in range(1, 5):
+                for at in range(len(w) + 3 - n):
+                    grams[n][f"^{w}$"[at : at + n], lang] += 1
+
+    totals = {(id(c), lang): sum(c[x, lang] + 0.5 for x in {x for x, _ in c}) for c in (words, *grams) for lang in langs}
+
+    def log(table, item, lang):
+        return math.log((table[item, lang] + 0.5) / totals[id(table), lang])
+
+    def score(w, lang):
+        if any((w, x) in words for x in langs):
+            return log(words, w, lang)
+        total, n_places, marked = 0.0, 0, f"^{w}$"
+        for at in range(len(marked)):
+            for n in (4, 3, 2, 1):
+                if at + n <= len(marked) and any((marked[at : at + n], x) in grams[n] for x in langs):
+                    total, n_places = total + log(grams[n], marked[at : at + n], lang), n_places + 1
+                    break
+        return total / max(1, n_places)
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in language.predict(docs, language.learn(docs)).collect()}
+    for i, t, _ in rows[:40]:
+        sums = {lang: sum(score(w, lang) for w in t.split()) for lang in langs}
+        best = max(sums.values())
+        assert (got[i].lang_pred == "und") == (not t)
+        if t:
+            assert sums[got[i].lang_pred] > best - 1e-3
+            assert abs(got[i].score - 1 / sum(math.exp(s - best) for s in sums.values())) < 1e-3
 
 
 @pytest.mark.parametrize("name", ["docs", "plain"])

@@ -49,7 +49,7 @@ def test_counts_and_cache(spark, docs, rows, library, empty):
         # the second run finds every digest: nothing is appended
         stored = spark.read.parquet(cache)
         assert stored.select("content").distinct().count() == len({t or "" for _, t, _ in rows})
-        assert stored.count() <= len({t or "" for _, t, _ in rows}) + 1  # rows without an id may be encoded twice
+        assert stored.count() == len({t or "" for _, t, _ in rows})
         size = stored.count()
     spark.createDataFrame([(bytes(32), "another version", 5)], tokens.CACHE).write.mode("append").parquet(cache)
     assert sorted(repr(tuple(r)) for r in tokens.count_tokens(docs, cache).collect()) == want
@@ -57,6 +57,39 @@ def test_counts_and_cache(spark, docs, rows, library, empty):
     assert tokens.count_tokens(empty, cache).count() == 0
 
 
+def test_repeated_rows_are_encoded_once(spark):
+    cache = new_path(spark, "test-cache")
+    tokens.open_cache(spark, cache)
+    for i in (7, None):
+        df = spark.createDataFrame([(i, f"the same text {i}")] * 1000, "doc_id long, text string").repartition(8)
+        assert tokens.count_tokens(df, cache).count() == 1000
+    assert spark.read.parquet(cache).count() == 2
+
+
+def test_version_covers_all_that_encodes(monkeypatch, tmp_path):
+    import public_tokenizers
+
+    names = [f"{tokens.VOCABULARY}.{x}" for x in ("json", "tiktoken")]
+    for n in names:
+        (tmp_path / n).write_bytes(open(tokenizer_path(n), "rb").read())
+    before = {tokens.version(), tokens.version(str(tmp_path))}
+    assert len(before) == 1
+    for n in names:
+        whole = (tmp_path / n).read_bytes()
+        (tmp_path / n).write_bytes(whole + b"\n")
+        assert tokens.version(str(tmp_path)) not in before
+        (tmp_path / n).write_bytes(whole)
+    monkeypatch.setattr(public_tokenizers, "PATTERN", public_tokenizers.PATTERN + "|x")
+    assert tokens.version() not in before
+
+
+def test_ids_of_whole_documents(library, spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()
+    texts = [r.text for r in docs[::5]] + ["".join(r.text or "" for r in docs[:40])]  # one of many languages
+    for text in texts:
+        assert tokens.encode(text or "").tolist() == library(text)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n▁abtheE.,'s1é的"), st.characters(exclude_categories=["Cs"])), max_size=50))
 def test_transducer_gives_the_library_ids(sentencepiece, text):
@@ -155,4 +188,32 @@ def test_bins_are_as_few_as_can_be(sizes):
     packer = packing.Packer(dict(Counter(sizes)), 20)
     assert Counter(x for times, bin_ in packer.bins for x in bin_ for _ in range(times)) == Counter(sizes)
     assert all(sum(bin_) <= 20 for _, bin_ in packer.bins)
-    assert packer.bound <= exact_bins(sizes, 20) == packer.size()
+    assert packer.bound <= exact_bins(sizes, 20) == packer.size() and packer.optimal
+
+
+def test_many_short_pieces_are_packed():
+    packer = packing.Packer({5: 409 * 2100, 2: 1023 * 2100})
+    assert packer.size() == packer.bound and sum(times * len(bin_) for times, bin_ in packer.bins) == (409 + 1023) * 2100
+
+
+def test_search_beats_best_fit_decreasing():
+    import random
+
+    better = 0
+    for seed in range(30):
+        rng = random.Random(seed)
+        counts = dict(Counter(rng.randint(20, 70) for _ in range(40)))
+        best_fit = sum(times for times, _ in packing.best_fit_decreasing(counts, 100))
+        packer = packing.Packer(counts, 100, nodes=100_000)
+        assert packer.bound <= packer.size() <= best_fit
+        better += packer.size() < best_fit
+    assert better > 3
+
+
+def test_all_pieces_are_packed_when_the_search_ends_early():
+    import random
+
+    rng = random.Random(2)
+    counts = dict(Counter(rng.randint(500, 899) for _ in range(500)))
+    packer = packing.Packer(counts, nodes=50)
+    assert not packer.optimal and Counter(x for times, bin_ in packer.bins for x in bin_ for _ in range(times)) == counts

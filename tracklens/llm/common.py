@@ -25,9 +25,11 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only in local mode where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -84,16 +86,24 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], name: str, b
     """Add ``name``: a gapless number from 0 within each key, however many rows a key has.
 
     Rows of a key are dealt to ``buckets`` by a hash of the columns ``order``, which tell rows apart, or of
-    ``spread`` (rows alike in it get neighbouring numbers), and numbered there; a bucket starts after the rows of the buckets before it. So no task sorts more than a
-    bucket of a key. The keys must be few by construction (shards, lengths): the table of starts, a row for
-    each key and bucket, is broadcast. ``df`` is read twice, so pass a staged table.
+    ``spread`` (rows alike in it get neighbouring numbers), and numbered there; a bucket starts after the rows
+    of the buckets before it. So no task sorts more than a bucket of a key. The table of starts has a row for
+    each key and bucket and is dealt as the window deals the rows, so only it moves for the join. ``df`` is
+    read twice, so pass a staged table.
     """
     d = df.withColumn("_b", F.pmod(F.xxhash64(*([spread] if spread is not None else order)), F.lit(buckets)).cast("int"))
     counts = d.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    if keys:
+        before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+        starts = counts.withColumn("_start", F.coalesce(before, F.lit(0))).drop("_n")
+    else:  # ``buckets`` numbers, summed here
+        sizes, start = {r["_b"]: r["_n"] for r in counts.collect()}, []
+        for b in range(buckets):
+            start.append(start[-1] + sizes.get(b - 1, 0) if b else 0)
+        starts = None
     within = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)) - 1
-    joined = d.withColumn("_i", within).join(F.broadcast(starts), [*keys, "_b"])
+    joined = d.withColumn("_i", within)
+    joined = joined.join(starts, [*keys, "_b"]) if keys else joined.withColumn("_start", F.element_at(F.lit(start), F.col("_b") + 1))
     return joined.withColumn(name, (F.col("_start") + F.col("_i")).cast("long")).drop("_b", "_i", "_start")
 
 

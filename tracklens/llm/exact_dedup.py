@@ -5,8 +5,9 @@ has one entry per hash of a normalised text:
 
 1. ``entries``: (k, doc_id, hash, sha256) of every document, a narrow table in the shared folder.
 2. ``Directory``: entries are counted by hash prefix; a bucket over its capacity is split on the next bit and
-   the directory doubles, until every bucket fits or holds a single prefix of the greatest depth. The
-   histogram has at most 2**MAX_DEPTH rows at any size of the input.
+   the directory doubles, until every bucket fits. Without a given capacity a bucket takes an even share of
+   the entries, BUCKETS buckets for each shuffle partition, so the directory grows with the tasks that read
+   it and there are always several buckets for an owner.
 3. Each scan task combines its batch first: equal bytes become one candidate (smallest k, number of rows),
    so a text that fills a third of the table reaches its owner as a candidate per batch.
 4. Owner tasks take whole buckets, that is key ranges, in hash order. Candidates of one hash form a chain;
@@ -14,8 +15,8 @@ has one entry per hash of a normalised text:
 5. Documents meet their chain by sha256. Groups of one need no such meeting and are left out of it.
 
 Defined results: a null text counts as empty, and empty texts are equal; a null doc_id sorts before all
-others; of rows that share the smallest doc_id of a group exactly one is kept; an empty table gives an
-empty result; other columns are ignored, whatever their names.
+others; of rows that share the smallest doc_id of a group exactly one is kept; texts are read whole, however
+long; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +26,8 @@ from pyspark.sql import functions as F
 
 from tracklens.llm.common import BLANKS, keep_rows, keyed, partitions, stage, table
 
-MAX_DEPTH = 14
-#: Entries (distinct texts) a bucket takes before it splits.
-CAPACITY = 4096
+#: Buckets for each shuffle partition, where no capacity is given.
+BUCKETS = 4
 
 
 def normalised() -> F.Column:
@@ -35,18 +35,18 @@ def normalised() -> F.Column:
 
 
 class Directory:
-    """Prefix -> bucket after doubling. ``histogram``: {prefix of MAX_DEPTH bits: entries}."""
+    """Prefix -> bucket after doubling. ``histogram``: {prefix of ``bits`` bits: entries}; no bucket is deeper than bits."""
 
-    def __init__(self, histogram: dict[int, int], capacity: int = CAPACITY):
-        self.depth, self.buckets = 0, {(0, 0): sum(histogram.values())}  # (local depth, prefix) -> load
-        loads = [dict() for _ in range(MAX_DEPTH + 1)]
+    def __init__(self, histogram: dict[int, int], capacity: int, bits: int):
+        self.bits, self.depth, self.buckets = bits, 0, {(0, 0): sum(histogram.values())}  # (local depth, prefix) -> load
+        loads = [dict() for _ in range(bits + 1)]
         for prefix, n in histogram.items():
-            for d in range(MAX_DEPTH + 1):
-                loads[d][prefix >> (MAX_DEPTH - d)] = loads[d].get(prefix >> (MAX_DEPTH - d), 0) + n
+            for d in range(bits + 1):
+                loads[d][prefix >> (bits - d)] = loads[d].get(prefix >> (bits - d), 0) + n
         todo = [(0, 0)]
         while todo:
             depth, prefix = todo.pop()
-            if self.buckets[depth, prefix] <= capacity or depth == MAX_DEPTH:
+            if self.buckets[depth, prefix] <= capacity or depth == bits:
                 continue
             del self.buckets[depth, prefix]
             self.depth = max(self.depth, depth + 1)  # the directory doubles when a bucket outgrows it
@@ -57,7 +57,7 @@ class Directory:
     def column(self, h: F.Column) -> F.Column:
         """The bucket (its number in key order) of a hash."""
         slots: list[int] = []
-        for number, (depth, prefix) in enumerate(sorted(self.buckets, key=lambda x: x[1] << (MAX_DEPTH - x[0]))):
+        for number, (depth, prefix) in enumerate(sorted(self.buckets, key=lambda x: x[1] << (self.bits - x[0]))):
             slots += [number] * (1 << (self.depth - depth))
         if self.depth == 0:
             return F.lit(0)
@@ -111,17 +111,25 @@ def _chain(batches):
     yield table_of(out(now, chain))
 
 
-def exact_groups(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def exact_groups(docs: DataFrame, capacity: int | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256, k) of every row of docs."""
     return _groups(keyed(docs), capacity)
 
 
-def _groups(docs_keyed: DataFrame, capacity: int) -> DataFrame:
+def directory_of(entries: DataFrame, capacity: int | None) -> Directory:
+    """Counted at some bits more than even buckets need; a hash is uniform, so no bucket needs many more."""
+    hashes = entries.select("h").distinct()
+    n = hashes.count()
+    capacity = capacity or max(1, -(-n // (BUCKETS * partitions(entries.sparkSession))))
+    bits = max(1, n // capacity).bit_length() + 3
+    histogram = hashes.groupBy(F.shiftrightunsigned("h", 64 - bits).cast("int").alias("prefix")).count()
+    return Directory({r["prefix"]: r["count"] for r in histogram.toLocalIterator()}, capacity, bits)
+
+
+def _groups(docs_keyed: DataFrame, capacity: int | None) -> DataFrame:
     norm = docs_keyed.withColumn("norm", normalised()).withColumn("h", F.xxhash64("norm"))
     entries = stage(norm.select("k", "doc_id", "h", F.unhex(F.sha2("norm", 256)).alias("sha")), "entries")
-    prefix = F.shiftrightunsigned("h", 64 - MAX_DEPTH).cast("int")
-    histogram = entries.select("h").distinct().groupBy(prefix.alias("prefix")).count()
-    directory = Directory({r["prefix"]: r["count"] for r in histogram.toLocalIterator()}, capacity)
+    directory = directory_of(entries, capacity)
 
     candidates = norm.select("h", "k", "doc_id", "norm").mapInArrow(_combine, "h long, norm string, k long, doc_id long, n long")
     owned = candidates.withColumn("bucket", directory.column(F.col("h"))).repartition(partitions(docs_keyed.sparkSession), "bucket").sortWithinPartitions("bucket", "h")
@@ -139,7 +147,7 @@ def _groups(docs_keyed: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def dedup(docs: DataFrame, capacity: int | None = None) -> DataFrame:
     """The rows of docs, all their columns, less those that equal a row that stays."""
     rows = keyed(docs, row=True)
     return keep_rows(rows, _groups(rows, capacity).where("kept"))

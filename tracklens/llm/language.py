@@ -6,18 +6,20 @@ single character; a word's score is the mean over its places. A text takes the l
 sum; its score is that language's posterior under equal priors.
 
 Learning reads text and lang of rows with a language whose crc32(doc_id as text) mod 4 is not 2. It uses a
-bounded sample: about ``max_docs`` documents of each language, chosen by a hash of doc_id. The model keeps
-``max_words`` words and, of each order, ``max_grams`` n-grams a language, so its size has a bound too.
-Prediction reads whole texts and nothing but texts.
+bounded sample of them: about ``max_docs`` documents of each language, chosen by a hash of doc_id. All words
+and n-grams of the sample are learned. Prediction reads whole texts and nothing but texts. A word is a letter
+and the letters and combining marks that follow it.
 
 Defined results: null text and texts without a letter give ``und`` with score 0, as does everything if
-there is nothing to learn from; a null doc_id is neither held out nor learned from; equal sums go to the
-language that sorts first; repeated rows are predicted alike; an empty table gives an empty result.
+there is nothing to learn from; a null doc_id is neither held out nor learned from; a language is known as
+soon as one of its sampled texts has a word, however rare; equal sums go to the language that sorts first;
+texts are read whole, however long; repeated rows are predicted alike; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklens.llm.common import stage, table
@@ -31,7 +33,7 @@ MEMORY = 200_000
 def words_of(text: str) -> list[str]:
     import regex
 
-    return regex.findall(r"\p{L}+", text.lower())
+    return regex.findall(r"\p{L}[\p{L}\p{M}]*", text.lower())
 
 
 def held_out() -> F.Column:
@@ -70,61 +72,59 @@ def _count_grams(batches):
 
 
 class Model:
-    """Log frequencies by language, for words and for n-grams of each order."""
+    """Log frequencies by language, for words and for n-grams of each order: an item's row in a matrix."""
 
     def __init__(self, words: list[tuple[str, str, int]], grams: list[tuple[str, int, str, int]]):
         import numpy as np
 
-        self.langs = sorted({lang for lang, _, _ in words})
-        self.words = self._logs(np, [(lang, w, n) for lang, w, n in words])
-        self.grams: dict[str, tuple] = {}
+        self.langs = sorted({lang for lang, _, _ in words} | {lang for lang, *_ in grams})
+        self.words, self.word_logs = self._logs(np, words)
+        self.grams, logs = {}, []
         for order in range(1, ORDERS + 1):
-            self.grams |= self._logs(np, [(lang, g, n) for lang, o, g, n in grams if o == order])
+            of, log = self._logs(np, [(lang, g, n) for lang, o, g, n in grams if o == order])
+            self.grams |= {g: i + len(self.grams) for g, i in of.items()}
+            logs.append(log)
+        self.gram_logs = np.concatenate(logs)
 
     def _logs(self, np, rows):
         at = {lang: i for i, lang in enumerate(self.langs)}
-        counts: dict[str, list[float]] = {}
-        for lang, item, n in rows:
-            counts.setdefault(item, [0.0] * len(self.langs))[at[lang]] += n
-        if not counts:
-            return {}
-        table = np.array(list(counts.values())) + 0.5
-        return dict(zip(counts, np.log(table / table.sum(0)), strict=True))
+        of: dict[str, int] = {}
+        places = np.array([(of.setdefault(item, len(of)), at[lang]) for lang, item, _ in rows], np.int64).reshape(-1, 2)
+        counts = np.zeros((len(of), len(self.langs)))
+        np.add.at(counts, (places[:, 0], places[:, 1]), [n for *_, n in rows])
+        counts += 0.5
+        return of, np.log(counts / counts.sum(0)).astype(np.float32) if len(of) else counts.astype(np.float32)
 
     def score_word(self, word: str):
         import numpy as np
 
         known = self.words.get(word)
         if known is not None:
-            return known
+            return self.word_logs[known]
         marked = f"^{word}$"
         total, places = np.zeros(len(self.langs)), 0
         for i in range(len(marked)):
             for order in range(ORDERS, 0, -1):
                 if i + order <= len(marked) and (known := self.grams.get(marked[i : i + order])) is not None:
-                    total += known
+                    total += self.gram_logs[known]
                     places += 1
                     break
         return total / max(1, places)
 
 
-def learn(docs: DataFrame, max_docs: int = 10_000, max_words: int = 30_000, max_grams: int = 20_000, seed: int = 11) -> Model:
+def learn(docs: DataFrame, max_docs: int = 3_000, seed: int = 11) -> Model:
+    """From about ``max_docs`` labelled documents of each language; languages are few."""
     able = docs.where(~held_out()).where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "doc_id")
     shares = able.groupBy("lang").agg(F.least(F.lit(1.0), max_docs / F.count("*")).alias("share"))
-    sample = able.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    sample = able.join(shares, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     counted = stage(sample.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     grams = counted.mapInArrow(_count_grams, "lang string, order int, gram string, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
-
-    def most(df, keys, item, limit):
-        return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), item))).where(F.col("_r") <= limit).drop("_r")
-
-    words = [tuple(r) for r in most(counted.where("n > 1"), ["lang"], "word", max_words).select("lang", "word", "n").collect()]  # max_words a language
-    return Model(sorted(words), sorted(tuple(r) for r in most(grams, ["lang", "order"], "gram", max_grams).select("lang", "order", "gram", "n").collect()))
+    return Model(sorted(map(tuple, counted.toLocalIterator())), sorted(map(tuple, grams.select("lang", "order", "gram", "n").toLocalIterator())))  # of the sample
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def of(batches):
         from collections import Counter

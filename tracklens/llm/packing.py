@@ -2,16 +2,19 @@
 
 A document is its token ids (``tokens.encode``) and an end token. Longer ones than a sequence are cut into
 full pieces behind a first, shorter one; full pieces are sequences of their own. What is left to pack is
-known by how many pieces have each length: at most ``capacity`` numbers, whatever the corpus. Over those,
-bins are completed around the largest piece left: fillings of the space beside it are enumerated from
-large pieces to small, so that of fillings that dominate one another the dominating one comes first; a
-branch is cut where its least waste can't beat the best filling so far, which starts as the best fit. A
-filling is used as often as its pieces last. If the bins then exceed the lower bound, other undominated
-fillings are tried depth first, within a budget of nodes; the best-fit-decreasing packing is the first
-incumbent. Pieces are numbered within their length, and the number says which bin and place is theirs.
+known by how many pieces have each length: at most ``capacity`` numbers, whatever the corpus. The
+best-fit-decreasing packing is the first incumbent. To beat it by a bin, all bins together may waste only so
+much; that is the bound by which branches are cut. Bins are completed around the largest piece left, by
+fillings of the space beside it: a filling is cut while it grows if the pieces still to come can't bring its
+waste under the bound, and dropped if another dominates it, that is if pieces not in it could take the place
+of one or two of its own and waste less. A filling is used as often as its pieces last, or once; the search
+is depth first, least waste first: with the best filling of each bin only, then with a few, then with all.
+It ends at the lower bound or when nothing is left to try (``optimal`` says so), or after ``nodes`` steps:
+packing is NP-hard, so beyond that many the best incumbent is the result. Every piece is packed in any case.
+Pieces are numbered within their length, and the number says which bin and place is theirs.
 
 Defined results: a null text counts as empty and is packed as its end token; repeated rows are packed one by
-one; an empty table gives an empty result; other columns are ignored.
+one; texts are read whole, however long; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,84 +65,118 @@ def pieces(docs_keyed: DataFrame, capacity: int = CAPACITY, root: str | None = N
 class Packer:
     """Bins for ``counts``: {length: pieces}. ``bins``: [(times, lengths of a bin, largest first)]."""
 
-    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 500_000):
+    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 1_500_000):
         self.capacity, self.left = capacity, nodes
+        self.tokens = sum(x * n for x, n in counts.items())
         self.bound = lower_bound(counts, capacity)
         self.bins = best_fit_decreasing(counts, capacity)
-        for width in (1, 4):  # the best filling of each bin only, then some of the undominated ones
-            if self.size() > self.bound:
-                self._complete(counts, width)
+        self.optimal = self.size() <= self.bound
+        for width, share in ((1, 3), (4, 2), (None, 1)):
+            if not self.optimal:
+                self._complete(dict(counts), width, self.left - self.left // share)
 
     def size(self) -> int:
         return sum(times for times, _ in self.bins)
 
-    def _complete(self, counts: dict[int, int], width: int) -> None:
-        """Depth first; a frame holds what is left, the bins so far and the fillings still to try."""
-        best = self.size()
-        frames = [self._frame(dict(counts), [], 0, width)]
-        while frames and self.left > 0:
-            left, bins, used, todo = frames[-1]
-            if not todo:
+    def _complete(self, counts: dict[int, int], width: int | None, until: int) -> None:
+        """Depth first; a frame holds the bins so far, their pieces to give back, and the fillings still to try."""
+        best, left, bins, used, filled = self.size(), counts, [], 0, 0
+        slack = lambda: (best - 1) * self.capacity - self.tokens - (used * self.capacity - filled)
+        frames = [self._fillings(left, slack(), width)]
+        while frames:
+            if self.left <= until:
+                return
+            if not frames[-1]:
                 frames.pop()
+                if bins:
+                    times, filling = bins.pop()
+                    used, filled = used - times, filled - times * sum(filling)
+                    for x in filling:
+                        left[x] = left.get(x, 0) + times
+                continue
+            times, filling = frames[-1].pop()
+            if used + times >= best or times * (self.capacity - sum(filling)) > slack():
                 continue
-            filling = todo.pop(0)
-            times = min(left[x] // filling.count(x) for x in set(filling))
-            now = dict(left)
             for x in filling:
-                now[x] -= times
-                if not now[x]:
-                    del now[x]
-            total, chosen = used + times, [*bins, (times, filling)]
-            if not now:
-                if total < best:
-                    best, self.bins = total, chosen
-                if best <= self.bound:
+                left[x] -= times
+                if not left[x]:
+                    del left[x]
+            bins.append((times, filling))
+            used, filled = used + times, filled + times * sum(filling)
+            if not left:
+                best, self.bins = used, list(bins)
+                self.optimal = best <= self.bound
+                if self.optimal or width == 1:
                     return
-            elif total + least_bins(now, self.capacity) < best:
-                frames.append(self._frame(now, chosen, total, width))
-            if width == 1 and not now:
-                return
-
-    def _frame(self, left, bins, used, width):
-        return left, bins, used, self._fillings(left, width)
+            open_ = left and used + least_bins(left, self.capacity) < best
+            frames.append(self._fillings(left, slack(), width) if open_ else [])
+        self.optimal = self.optimal or width is None
 
-    def _fillings(self, left: dict[int, int], width: int) -> list[list[int]]:
-        """The fillings with the least waste around the largest piece, at most ``width``, the least first."""
+    def _fillings(self, left: dict[int, int], most_waste: int, width: int | None) -> list[tuple[int, list[int]]]:
+        """(times, filling) around the largest piece: at most ``width`` undominated ones, the one to try first last."""
         largest = max(left)
-        space = self.capacity - largest
-        sizes = sorted((x for x in left if x <= space), reverse=True)
-        have = dict(left)
-        have[largest] -= 1
-        found: list[tuple[int, list[int]]] = []
-        budget = [4000]
+        room = self.capacity - largest
+        sizes = sorted((x for x in left if x <= room), reverse=True)
+        have = {x: left[x] - (x == largest) for x in sizes}
+        sizes = [x for x in sizes if have[x]]
+        if room in have and have[room]:
+            found = [(0, [room])]  # an exact fit by one piece dominates all other fillings
+        else:
+            found = self._undominated(sizes, have, room, most_waste, width)
+        out = []
+        for _, f in reversed(found):
+            filling = [largest, *f]
+            times = min(left[x] // filling.count(x) for x in set(filling))
+            out += [(1, filling)] * (width is None and times > 1) + [(times, filling)]
+        return out
+
+    def _undominated(self, sizes, have, room: int, most_waste: int, width: int | None):
+        """[(waste, pieces)], least waste first; pieces fall in size."""
+        from bisect import bisect_left, insort
 
-        def search(at: int, room: int, chosen: list[int]) -> bool:
-            """True: nothing better can follow."""
-            budget[0] -= 1
+        rising = sizes[::-1]
+        rest = [0] * (len(sizes) + 1)  # all that the pieces from a place on can fill
+        for i in range(len(sizes) - 1, -1, -1):
+            rest[i] = min(self.capacity, rest[i + 1] + sizes[i] * min(have[sizes[i]], room // sizes[i]))
+        found: list[tuple[int, list[int]]] = []
+        chosen: list[int] = []
+        spare = dict(have)
+
+        def dominated(waste: int) -> bool:
+            """Whether a spare piece could replace one or two of the chosen and waste less, or as little with fewer pieces."""
+            parts = {(x, False) for x in chosen} | {(x + y, True) for i, x in enumerate(chosen) for y in chosen[i + 1 :]}
+            for size, two in parts:
+                i = bisect_left(rising, size + (not two))
+                while i < len(rising) and rising[i] <= size + waste:
+                    if spare[rising[i]]:
+                        return True
+                    i += 1
+            return False
+
+        at = [0]  # for each chosen piece, and then the next one, the place from which to choose
+        while at:
             self.left -= 1
-            grown = False
-            for i in range(at, len(sizes)):
-                x = sizes[i]
-                if x > room or not have[x]:
-                    continue
-                if len(found) >= width and budget[0] <= 0:
-                    return True
-                grown = True
-                have[x] -= 1
-                done = search(i, room - x, [*chosen, x])
-                have[x] += 1
-                if done:
-                    return True
-                if room - x == 0:
-                    break  # an exact fit by one piece dominates all fillings of this room
-            if not grown:
-                found.append((room, chosen))
-                found.sort(key=lambda f: f[0])
-                del found[width:]
-            return len(found) >= width and found[-1][0] == 0
-
-        search(0, space, [])
-        return [[largest, *f] for _, f in found]
+            limit = most_waste if width is None or len(found) < width else min(most_waste, found[-1][0] - 1)
+            if limit < 0 or self.left <= 0 and found:
+                break
+            i = at[-1]
+            while i < len(sizes) and (sizes[i] > room or not spare[sizes[i]]):
+                i += 1
+            if i < len(sizes) and room - rest[i] <= limit:
+                at[-1] = i + 1  # after this branch, go on with smaller pieces
+                chosen.append(sizes[i])
+                spare[sizes[i]] -= 1
+                room -= sizes[i]
+                at.append(i)
+                continue
+            if room <= limit and not any(spare[x] for x in rising[: bisect_left(rising, room + 1)]) and not dominated(room):
+                insort(found, (room, list(chosen)))
+                del found[width if width is not None else len(found) :]
+            at.pop()
+            if chosen:
+                room += chosen[-1]
+                spare[chosen.pop()] += 1
+        return found
 
 
 def least_bins(counts: dict[int, int], capacity: int) -> int:

@@ -4,7 +4,7 @@ Documents with equal texts are linked. Linked documents start in even shares; in
 moves to the shard with room that most of its group is in, if that is more than where it is. Each shard
 has a quota, its final number of rows; during the rounds it may hold SLACK more, and a round lets no more
 in than that leaves. Rounds are joins of three narrow tables: documents, counts of (group, shard), and each
-group's best shard; they end when nobody moves. Then shards over their quota give up what is over it, from
+group's best shard; they end when nobody moves or no more links come to lie within shards. Then shards over their quota give up what is over it, from
 their largest groups first, as those are cut in any case. What was given up, group by group, and then the
 documents without links, which have no edges to cut, fill every shard up to its quota.
 
@@ -13,7 +13,8 @@ Counts combine before they shuffle, and documents meet them by (group, shard), s
 of all rows is spread like any other rows.
 
 Defined results: a null text counts as empty; null and repeated doc_ids are rows like others; slots are
-gapless from 0 in each shard; an empty table gives an empty result; other columns are ignored.
+gapless from 0 in each shard; texts are read whole, however long; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,15 +35,23 @@ def _quotas(n: int, shards: int) -> list[int]:
     return [n // shards + (j < n % shards) for j in range(shards)]
 
 
-def propagate(linked: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
-    """linked: staged (k, g1, g2, shard), no shard over its quota. The same with the shards after the rounds."""
-    for _ in range(rounds):
+def propagate(linked: DataFrame, quotas: list[int], least_gain: float) -> DataFrame:
+    """linked: staged (k, g1, g2, shard), no shard over its quota. The same with the shards after the rounds.
+
+    Rounds go on as long as documents move and the links within shards grow by more than ``least_gain`` of them.
+    """
+    within = -1.0
+    while True:
         taken = {r["shard"]: r["count"] for r in linked.groupBy("shard").count().collect()}  # a row for each shard
         room = [q - taken.get(j, 0) for j, q in enumerate(quotas)]
         rooms = F.array(*map(F.lit, room))
-        votes = linked.groupBy(*GROUP, "shard").agg(F.count("*").alias("n"))
+        votes = stage(linked.groupBy(*GROUP, "shard").agg(F.count("*").alias("n")), "votes")
+        now = votes.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
+        if now <= within * (1 + least_gain):
+            break
+        within = now
         open_ = votes.where(F.element_at(rooms, F.col("shard") + 1) > 0)
-        best = open_.groupBy(*GROUP).agg(F.max(F.struct("n", (-F.col("shard")).alias("minus"))).alias("b")).select(*GROUP, F.col("b.n").alias("best_n"), (-F.col("b.minus")).alias("best"))
+        best = open_.groupBy(*GROUP).agg(F.max(F.struct("n", (-F.col("shard")).alias("minus"))).alias("b")).select(*GROUP, F.col("b.n").alias("best_n"), (-F.col("b.minus")).alias("best"))  # a row a shard at most
         full = F.element_at(rooms, F.col("shard") + 1) <= 0  # of equal shards the first with room takes the group
         better = (F.col("best_n") > F.col("n")) | ((F.col("best_n") == F.col("n")) & ((F.col("best") < F.col("shard")) | full))
         wishes = stage(votes.join(best, GROUP).where(better).select(*GROUP, "shard", "best"), "wishes")
@@ -79,7 +88,7 @@ def give_up(linked: DataFrame, quotas: list[int], buckets: int) -> DataFrame:
     return stage(numbered.where(F.col("number") < number).select("k", "g1", "class"), "given-up")
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = 30) -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS, least_gain: float = 0.0) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row of docs."""
     text = F.coalesce("text", F.lit(""))
     base = stage(
@@ -91,10 +100,10 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = 30) -> DataFrame
     # staged, here and below, so that plain tables meet in joins: AQE can split a group with very many rows
     several = stage(base.groupBy(*GROUP).count().where("count > 1").select(*GROUP), "several")
     buckets = 4 * partitions(docs.sparkSession)
-    linked = stage(base.select("k", *GROUP).join(several, GROUP, "left_semi").withColumn("one", F.lit(0)), "groups")
-    dealt = number_within(linked, ["one"], ["k"], "number", buckets)
+    linked = stage(base.select("k", *GROUP).join(several, GROUP, "left_semi"), "groups")
+    dealt = number_within(linked, [], ["k"], "number", buckets)
     linked = stage(dealt.select("k", *GROUP, F.pmod("number", F.lit(shards)).cast("int").alias("shard")), "linked")
-    linked = propagate(linked, [int(q * (1 + SLACK)) + 1 for q in quotas], rounds)
+    linked = propagate(linked, [int(q * (1 + SLACK)) + 1 for q in quotas], least_gain)
     given = give_up(linked, quotas, buckets)
     linked = stage(linked.select("k", "shard").join(given.select("k"), "k", "left_anti"), "settled")
 

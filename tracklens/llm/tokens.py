@@ -7,8 +7,10 @@ that tiktoken refuses goes to the vocabulary's own library.
 
 Digest cache: a Parquet table (content, tokenizer, n_tokens). ``content`` is the SHA-256 of the normalised
 text: the vocabulary has no normaliser, so normalising only makes null an empty text. ``tokenizer`` is the
-digest of the vocabulary file, so another version never meets old counts. Documents' distinct digests are
-joined to the stored counts; only misses are encoded, each once; their counts are appended to the cache.
+digest of all that decides an encoding (vocabulary file, ranks, pattern), so another version never meets old
+counts. Documents' distinct digests are joined to the stored counts; only misses are encoded, each once: the
+row with the smallest key (``keyed``) of a digest fetches its text. Their counts are appended to the cache.
+Without misses no text is read again.
 
 Defined results: a null text counts as empty and has no tokens; repeated rows are counted alike; an empty
 table gives an empty result; other columns are ignored.
@@ -23,7 +25,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import new_path, stage, table, tokenizer_path
+from tracklens.llm.common import keyed, new_path, stage, table, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k"
 LIMIT = 1024
@@ -59,7 +61,10 @@ def encode(text: str, root: str | None = None):
 
 
 def version(root: str | None = None) -> str:
-    return hashlib.sha256(Path(tokenizer_path(f"{VOCABULARY}.json", root)).read_bytes()).hexdigest()
+    import public_tokenizers
+
+    files = [Path(tokenizer_path(f"{VOCABULARY}.{x}", root)).read_bytes() for x in ("json", "tiktoken")]
+    return hashlib.sha256(b"".join(hashlib.sha256(x).digest() for x in [*files, public_tokenizers.PATTERN.encode()])).hexdigest()
 
 
 def open_cache(spark: SparkSession, path: str) -> None:
@@ -71,12 +76,11 @@ def count_tokens(docs: DataFrame, cache: str, limit: int = LIMIT, root: str | No
     """(doc_id, n_bytes, n_tokens, over_limit) of every row of docs. ``cache``: path of an opened cache."""
     spark = docs.sparkSession
     tokenizer = version(root)
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "doc_id").withColumn("content", F.unhex(F.sha2("text", 256)))
-    named = stage(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "content", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    texts = keyed(docs).select("k", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    content = F.unhex(F.sha2("text", 256)).alias("content")
+    named = stage(texts.select("k", "doc_id", content, F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     stored = lambda: spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == tokenizer).select("content", "n_tokens").dropDuplicates(["content"])
-
-    # of each distinct digest that the cache lacks, one row fetches its text: that of the smallest doc_id
-    misses = named.groupBy("content").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first")).join(stored(), "content", "left_anti")
+    misses = stage(named.groupBy("content").agg(F.min("k").alias("k")).join(stored(), "content", "left_anti"), "misses")
 
     def lengths(batches):
         import pyarrow as pa
@@ -84,8 +88,9 @@ def count_tokens(docs: DataFrame, cache: str, limit: int = LIMIT, root: str | No
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array([len(encode(x.as_py(), root)) for x in batch.column("text")], pa.int64())], ["content", "n_tokens"])
 
-    chosen = texts.withColumn("first", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).join(misses, ["content", "first"], "left_semi")
-    chosen.select("content", "text").mapInArrow(lengths, "content binary, n_tokens long").select("content", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+    if not misses.isEmpty():
+        chosen = texts.select("k", "text").join(misses, "k").select("content", "text")
+        chosen.mapInArrow(lengths, "content binary, n_tokens long").select("content", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     # staged, so that plain tables meet here: AQE can split a digest with very many rows
     return named.join(stage(stored(), "counts"), "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
