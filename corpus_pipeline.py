@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences, one operator a stage."""
+"""From raw documents to packed training sequences, one operator a stage.
+
+Defined results: a null text fails the quality rules, and so does an empty one; null and repeated doc_ids are
+rows like others, in the order of ``keyed``; without labels the rules use their own thresholds; extra columns,
+whatever their names, pass through all stages but the last; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -20,7 +25,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more) stays."""
     return simhash_dedup.dedup(docs)
 
 
@@ -30,8 +35,8 @@ def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's tokens, in sequences."""
-    return packing.pack(docs)
+    """Every document's tokens, in sequences: pieces with their token ids, sequence and place there."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("simhash_dedup", near), ("suffix_dedup", suffixes), ("packing", packed)]
