@@ -18,8 +18,8 @@ bucket is bounded by its size times a constant. Components are built from those
 ``SIMILARITY`` (0.8) or more. Candidates come from the same covering tables, over fingerprints of a text's
 distinct words, which an edit moves less than it moves shingles: of pairs at 0.8 or more 95 % differ in at
 most ``RADIUS`` (6) bits. Every link is then verified on the shingles themselves. A bucket's rows first
-meet its smallest k, then, as long as the bucket holds several components, other rows, a few at first and
-eight times as many in every round, up to all of them; pairs within a component are skipped. So a group of
+meet its smallest k, then, as long as the bucket holds several components, other rows, GROWTH at first and
+then as many times more in every round, up to all of them; pairs within a component are skipped. So a group of
 near copies takes a few links a row, and no link between components is lost.
 
 Defined results: a null text counts as empty; a null doc_id sorts first; texts without words are alike;
@@ -41,6 +41,8 @@ BITS = 64
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 6
 #: Rows of a bucket that meet as many others in one task; larger buckets meet block by block.
 BLOCK = 4096
+#: Times as many rows of a bucket that a row meets in each further round.
+GROWTH = 16
 
 
 def masks(radius: int) -> list[int]:
@@ -226,11 +228,13 @@ def shingle_sets(docs_keyed: DataFrame, width: int) -> DataFrame:
     return docs_keyed.select("k", "text").mapInArrow(of, "k long, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are alike enough."""
+def _verified(pairs: DataFrame, docs_keyed: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The staged pairs (a, b) whose texts' shingle sets are alike enough; only texts in pairs are read."""
+    ids = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+    sets = stage(shingle_sets(docs_keyed.select("k", "text").join(ids, "k", "left_semi"), width), "shingles")
     both = pairs.join(sets.select(F.col("k").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return stage(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
 
 
 def _mixed(rows: DataFrame, block: int) -> DataFrame:
@@ -303,28 +307,27 @@ def near_copies(docs_keyed: DataFrame, width: int = WIDTH, similarity: float = S
     least = stage(dealt.groupBy("key").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1"), "buckets")
     met = stage(dealt.join(least.select("key", "first"), "key"), "met")
 
-    sets = stage(shingle_sets(docs_keyed.select("k", "text").join(met.select("k").distinct(), "k", "left_semi"), width), "shingles")
     firsts = met.where("k > first").select(F.col("k").alias("a"), F.col("first").alias("b"), "fp").distinct()
     other = fps.select(F.col("k").alias("b"), F.col("fp").alias("fp2"))
-    pairs = firsts.join(other, "b").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius).select("a", "b")
-    tested = stage(pairs, "pairs")
-    links = stage(_verified(tested, sets, similarity), "links")
+    tested = stage(firsts.join(other, "b").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius).select("a", "b"), "pairs")
+    roots = stage(components(_verified(tested, docs_keyed, width, similarity)), "near-roots")
     largest = least.agg(F.max("n")).first()[0] or 0
     most = 1
-    while True:
-        roots = stage(components(links), "near-roots")
-        if most >= min(largest, block):
-            return roots
-        most *= 8
+    while most < min(largest, block):
+        most *= GROWTH
         named = stage(met.join(roots, F.col("k") == F.col("node"), "left").select("key", "k", "fp", F.coalesce("root", "k").alias("label")), "named")
         mixed = stage(_mixed(named, block), "mixed")
         if mixed.isEmpty():
-            return roots
+            break
         dealt_pairs = _block_pairs(named, mixed).repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "k")
-        found = dealt_pairs.mapInArrow(_meet(radius, most), "a long, b long").distinct()
-        new = stage(found.join(tested, ["a", "b"], "left_anti"), "pairs")
+        new = stage(dealt_pairs.mapInArrow(_meet(radius, most), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        if new.isEmpty():
+            continue
         tested = tested.union(new)
-        links = links.union(stage(_verified(new, sets, similarity), "links"))
+        links = _verified(new, docs_keyed, width, similarity)
+        if not links.isEmpty():
+            roots = stage(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)), "near-roots")
+    return roots
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
