@@ -1,4 +1,4 @@
-"""Column functions of the track catalogue. All stay in the JVM except ``identity_unicode``."""
+"""Column functions of the track catalogue. All stay in the JVM but the Unicode foldings of ``identity_unicode`` and ``device_path``."""
 
 from __future__ import annotations
 
@@ -55,14 +55,18 @@ def identity_part(value: Column) -> Column:
 
 
 def identity_unicode():
-    """The same for any text: compatibility forms are folded too."""
+    """The same for any text: compatibility forms and accents are folded too."""
     @F.pandas_udf("string")
     def fold(values: pd.Series) -> pd.Series:
         import unicodedata
 
+        import regex
+
+        drop = regex.compile(r"[^\p{L}\p{N}]+")
+
         def one(x):
-            keep = lambda s: "".join(c for c in s if unicodedata.category(c)[0] in "LN")
-            return keep(unicodedata.normalize("NFKD", keep(unicodedata.normalize("NFC", x or ""))).casefold())
+            first = drop.sub("", unicodedata.normalize("NFC", x or ""))
+            return first.lower() if first.isascii() else drop.sub("", unicodedata.normalize("NFKD", first).casefold())
 
         return values.map(one)
 
@@ -153,8 +157,19 @@ def tag_key(tags: Column) -> Column:
     return F.coalesce(*[one(tags[name]) for name in ("initialkey", "tkey", "key")])
 
 
-def device_path(path: Column) -> Column:
-    return F.lower(F.ltrim(F.replace(text(path), F.lit("\\"), F.lit("/")), F.lit("/")))
+def device_path():
+    """A path as devices and exports agree on it: slashes, composed characters, no root, casefolded."""
+    @F.pandas_udf("string")
+    def fold(values: pd.Series) -> pd.Series:
+        import unicodedata
+
+        def one(x):
+            composed = unicodedata.normalize("NFC", (x or "").replace("\\", "/").strip())
+            return "/".join(p for p in composed.split("/") if p not in ("", ".")).casefold() or "."
+
+        return values.map(one)
+
+    return fold
 
 
 def content_type(object_key: Column) -> Column:
@@ -165,8 +180,10 @@ def content_type(object_key: Column) -> Column:
 
 
 def fnv1a(value: Column, start: int = FNV_OFFSET) -> Column:
-    """32-bit FNV-1a over a text's characters, as a long."""
-    return F.aggregate(F.split(value, ""), F.lit(start).cast("long"), lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * FNV_PRIME).bitwiseAND(F.lit((1 << 32) - 1)))
+    """32-bit FNV-1a over a text's UTF-16 units, as a long."""
+    units = F.regexp_extract_all(F.hex(F.encode(value, "UTF-16BE")), F.lit("(.{4})"))
+    codes = F.when(F.octet_length(value) == F.char_length(value), F.transform(F.split(value, ""), lambda c: F.ascii(c).cast("long"))).otherwise(F.transform(units, lambda u: F.conv(u, 16, 10).cast("long")))
+    return F.aggregate(codes, F.lit(start).cast("long"), lambda h, c: (h.bitwiseXOR(c) * FNV_PRIME).bitwiseAND(F.lit((1 << 32) - 1)))
 
 
 def hash_unit(value: Column) -> Column:

@@ -9,6 +9,9 @@ from tracklens.functions import scalars as S
 
 C = F.col
 DONE = ["succeeded", "skipped"]
+# Words for quarters of brightness and energy.
+BRIGHT = ["deep", "round", "bright", "crisp"]
+POWER = ["mellow", "warm", "driving", "intense"]
 OUTLIERS = "Outliers / one-offs"
 
 
@@ -36,9 +39,42 @@ def run_status(runs: DataFrame, stages: DataFrame) -> DataFrame:
     return met.select("run_id", status.alias("status"), "total", "done", C("first.stage_id").alias("error_stage"))
 
 
+def _moments(batches):
+    """One row a task: of each position the number of values, their mean and the squares about it (Chan's update)."""
+    import numpy as np
+    import pyarrow as pa
+
+    n = mean = squares = None
+    for batch in batches:
+        column = batch.column(0)
+        sizes = np.diff(column.offsets.to_numpy())
+        if not len(sizes) or not sizes.max():
+            continue
+        values = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+        pos = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        wide = max(sizes.max(), 0 if n is None else len(n))
+        grown = lambda x: np.zeros(wide) if x is None else np.pad(x, (0, wide - len(x)))
+        n, mean, squares = grown(n), grown(mean), grown(squares)
+        more = np.bincount(pos, minlength=wide).astype(float)
+        own = np.bincount(pos, values, wide) / np.maximum(more, 1)
+        away = np.bincount(pos, (values - own[pos]) ** 2, wide)
+        total = np.maximum(n + more, 1)
+        squares = squares + away + (own - mean) ** 2 * n * more / total
+        n, mean = n + more, mean + (own - mean) * more / total
+    if n is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.float64())) for x in (n.tolist(), mean.tolist(), squares.tolist())], ["n", "mean", "squares"])
+
+
 def dimension_stats(vectors: DataFrame, epsilon: float = 0.0) -> DataFrame:
-    """(pos, mean, sd, n): mean and population deviation of each dimension; sd has epsilon added."""
-    return vectors.select(F.posexplode("embedding").alias("pos", "v")).groupBy("pos").agg(F.avg(C("v").cast("double")).alias("mean"), (F.stddev_pop(C("v").cast("double")) + epsilon).alias("sd"), F.count("*").alias("n"))
+    """(pos, mean, sd, n): mean and population deviation of each dimension; sd has epsilon added.
+
+    A task adds its vectors up, so a row of a vector's size leaves it, whatever the number of vectors.
+    """
+    parts = vectors.where("embedding IS NOT NULL").select(C("embedding").cast("array<double>")).mapInArrow(_moments, "n array<double>, mean array<double>, squares array<double>")
+    each = parts.select(F.posexplode(F.arrays_zip("n", "mean", "squares")).alias("pos", "p")).select("pos", "p.*")
+    total = each.groupBy("pos").agg(F.sum("n").alias("n"), (F.sum(C("n") * C("mean")) / F.sum("n")).alias("mean"), F.collect_list(F.struct("n", "mean", "squares")).alias("parts"))  # a row a task
+    squares = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["squares"] + p["n"] * (p["mean"] - C("mean")) * (p["mean"] - C("mean")))
+    return total.select("pos", "mean", (F.sqrt(squares / C("n")) + epsilon).alias("sd"), C("n").cast("long").alias("n"))
 
 
 def stats_row(vectors: DataFrame, epsilon: float = 0.0) -> DataFrame:
@@ -53,10 +89,41 @@ def standardize(vectors: DataFrame, epsilon: float = 0.0) -> DataFrame:
     return vectors.crossJoin(F.broadcast(stats_row(vectors, epsilon))).withColumn("embedding", z).drop("means", "sds")
 
 
+def _vector_sums(keys: list[str]):
+    """Adds a batch's vectors up by key and dimension, so a row a batch, key and dimension travels."""
+
+    def of(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = pa.Table.from_batches([batch]).select(keys)
+            firsts: dict = {}
+            at = np.array([firsts.setdefault(k, len(firsts)) for k in zip(*(c.to_pylist() for c in own.columns), strict=True)])
+            take = np.unique(at, return_index=True)[1]
+            vectors = batch.column("embedding")
+            sizes = np.diff(vectors.offsets.to_numpy())
+            values = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
+            pos = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            wide = max(1, int(sizes.max()))
+            slot = np.repeat(at, sizes) * wide + pos
+            sums, n = (np.bincount(slot, w, len(firsts) * wide).reshape(-1, wide) for w in (values, None))
+            arrays = [c.combine_chunks().take(pa.array(take)) for c in own.columns]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(sums.tolist(), pa.list_(pa.float64())), pa.array(n.astype(float).tolist(), pa.list_(pa.float64()))], [*keys, "s", "n"])
+
+    return of
+
+
 def pool_vectors(windows: DataFrame, keys: list[str]) -> DataFrame:
     """Mean vector of each key's windows, and their number."""
-    each = windows.select(*keys, F.posexplode("embedding").alias("pos", "v")).groupBy(*keys, "pos").agg(F.avg(C("v").cast("double")).alias("v"), F.count("*").alias("n"))
-    return each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("_v"), F.max("n").alias("n")).select(*keys, C("_v.v").alias("embedding"), "n")
+    d = windows.where("embedding IS NOT NULL AND size(embedding) > 0").select(*keys, C("embedding").cast("array<double>"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name in keys)
+    parts = d.mapInArrow(_vector_sums(keys), f"{kinds}, s array<double>, n array<double>")
+    # what is left of a key, a row a batch, is summed by dimension
+    each = parts.select(*keys, F.posexplode(F.arrays_zip("s", "n")).alias("pos", "p")).groupBy(*keys, "pos").agg(F.sum("p.s").alias("s"), F.sum("p.n").alias("n")).where("n > 0")
+    return each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", (C("s") / C("n")).alias("v")))).alias("_v"), F.max("n").cast("long").alias("n")).select(*keys, C("_v.v").alias("embedding"), "n")
 
 
 def frame_errors(frames: DataFrame, dim: int) -> DataFrame:
@@ -75,10 +142,11 @@ def islands(points: DataFrame) -> DataFrame:
 
 def star_magnitudes(points: DataFrame) -> DataFrame:
     """Visual weight between 0.05 and 1: central, energetic tracks are brighter."""
-    of = Window.partitionBy("cluster")
-    p = points.withColumn("_cx", F.avg("x").over(of)).withColumn("_cy", F.avg("y").over(of))
+    # a cluster's centre and reach combine before they shuffle, and are joined back
+    p = points.join(points.groupBy("cluster").agg(F.avg("x").alias("_cx"), F.avg("y").alias("_cy")), "cluster")
     p = p.withColumn("_d", F.sqrt((C("x") - C("_cx")) * (C("x") - C("_cx")) + (C("y") - C("_cy")) * (C("y") - C("_cy"))))
-    central = 1 - C("_d") / F.greatest(F.max("_d").over(of), F.lit(0.001))
+    p = p.join(p.groupBy("cluster").agg(F.max("_d").alias("_reach")), "cluster")
+    central = 1 - C("_d") / F.greatest("_reach", F.lit(0.001))
     level = F.when(C("energy") == "low", 0.2).when(C("energy") == "driving", 0.74).when(C("energy") == "peak", 0.96).otherwise(0.46)
     power = F.when(C("energy_score").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), C("energy_score") / 10))).otherwise(level)
     weight = 0.07 + 0.5 * F.pow(central, F.lit(1.2)) + 0.31 * power + 0.12 * S.hash_unit(C("track_id"))
@@ -89,7 +157,9 @@ def cluster_names(members: DataFrame, features: DataFrame) -> DataFrame:
     """(cluster, name) from the tags of greatest mean, or the median tempo where there are none.
 
     features: (track_id, feature_key, value), keys such as genre::x. Of vibe::, clap:: and mood:: the first
-    prefix that occurs anywhere is used, two tags beside genres and four alone.
+    prefix that occurs anywhere is used, two tags beside genres and four alone. Where no tag occurs anywhere,
+    a cluster's median brightness and energy (members' columns ``brightness`` and ``energy_rms``, where there
+    are such) name it, by the quarter of all members that they fall in.
     """
     tempo = members.groupBy("cluster").agg(F.median("bpm").alias("m")).select("cluster", F.coalesce(F.concat(F.format_string("%.0f", F.bround("m", 0)), F.lit(" BPM")), F.lit("mixed tempo")).alias("tempo"))
     family = F.split("feature_key", "::", 2)
@@ -102,7 +172,26 @@ def cluster_names(members: DataFrame, features: DataFrame) -> DataFrame:
     best = mean.withColumn("_n", place).where(C("_n") <= F.when(C("is_genre") | C("genres"), 2).otherwise(4))
     text = best.groupBy("cluster", "is_genre").agg(F.concat_ws(" / ", F.array_sort(F.collect_list(F.struct("_n", "tag")))["tag"]).alias("t"))
     said = text.groupBy("cluster").agg(F.concat_ws(" · ", F.max(F.when(C("is_genre"), C("t"))), F.max(F.when(~C("is_genre"), C("t")))).alias("said"))
-    return tempo.join(said, "cluster", "left").select("cluster", F.when(C("cluster") == -1, OUTLIERS).otherwise(F.coalesce(F.nullif("said", F.lit("")), C("tempo"))).alias("name"))
+    tagless = tags.where((C("family") == "genre") | (rank > 0)).agg((F.count("*") == 0).alias("tagless"))
+    shares = None
+    for column, words in (("brightness", BRIGHT), ("energy_rms", POWER)):
+        share = _median_share(members, column).select("cluster", F.element_at(F.array(*map(F.lit, words)), F.least(F.floor(C("share") * 4), F.lit(3)).cast("int") + 1).alias(column))
+        shares = share if shares is None else shares.join(share, "cluster")
+    felt = F.concat(C("brightness"), F.lit(" & "), C("energy_rms"), F.lit(" · "), C("tempo"))
+    out = tempo.join(said, "cluster", "left").join(shares, "cluster").crossJoin(F.broadcast(tagless))
+    named = F.when(C("tagless"), felt).otherwise(F.coalesce(F.nullif("said", F.lit("")), C("tempo")))
+    return out.select("cluster", F.when(C("cluster") == -1, OUTLIERS).otherwise(named).alias("name"))
+
+
+def _median_share(members: DataFrame, column: str) -> DataFrame:
+    """(cluster, share): of all values of a column the share below the cluster's median; 0.5 where there is none."""
+    if column not in members.columns:
+        return members.select("cluster").distinct().withColumn("share", F.lit(0.5))
+    medians = members.groupBy("cluster").agg(F.median(column).alias("_m"))
+    known = members.where(C(column).isNotNull())
+    below = known.join(F.broadcast(medians.where("_m IS NOT NULL").select(C("cluster").alias("c"), C("_m").alias("m"))), C(column) < C("m")).groupBy("c").agg(F.count("*").alias("below"))  # clusters are a few dozen
+    n = known.agg(F.count("*").alias("n"))
+    return medians.join(below, C("cluster") == C("c"), "left").crossJoin(F.broadcast(n)).select("cluster", F.when(C("_m").isNull(), 0.5).otherwise(F.coalesce("below", F.lit(0)) / C("n")).alias("share"))
 
 
 def cluster_summary(assigned: DataFrame, run_id: str) -> DataFrame:

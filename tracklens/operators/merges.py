@@ -96,7 +96,21 @@ def feature_map(tall: DataFrame) -> DataFrame:
     return tall.groupBy("track_id").agg(F.map_from_entries(F.collect_list(F.struct("feature_key", "value"))).alias("features"))
 
 
-def replay_crate(events: DataFrame) -> DataFrame:
-    """What a crate holds after its edits: tracks whose last edit added them, in that order."""
-    last = events.groupBy("crate_id", "track_id").agg(F.max(F.struct("seq", "added")).alias("e")).where("e.added")
-    return last.select("crate_id", "track_id", (F.row_number().over(Window.partitionBy("crate_id").orderBy("e.seq")) - 1).alias("position"))
+def replay_crate(edits: DataFrame) -> DataFrame:
+    """(crate_id, track_id, position): what crates hold after their edits, in the order in which tracks came in.
+
+    edits: (crate_id, track_id, seq, action). ``add`` and ``remove`` do nothing if the track is in, or out,
+    already, so an added track keeps its place; ``toggle`` does the one that does something; ``remove_all``,
+    without a crate, removes the track from every crate.
+    """
+    own = edits.where("action <> 'remove_all'").select("crate_id", "track_id", "seq", "action")
+    everywhere = edits.where("action = 'remove_all'").select("track_id", "seq", F.lit("remove").alias("action"))
+    every = own.union(own.select("crate_id", "track_id").distinct().join(everywhere, "track_id").select("crate_id", "track_id", "seq", "action"))
+    order = Window.partitionBy("crate_id", "track_id").orderBy("seq")
+    toggles = F.sum(F.when(C("action") == "toggle", 1).otherwise(0)).over(order)
+    set_ = F.last(F.when(C("action") != "toggle", F.struct((C("action") == "add").alias("was"), C("_t").alias("t"))), True).over(order)
+    state = every.withColumn("_t", toggles).withColumn("_s", set_)
+    is_in = F.coalesce(C("_s.was"), F.lit(False)) != ((C("_t") - F.coalesce(C("_s.t"), F.lit(0))) % 2 == 1)
+    state = state.withColumn("_in", is_in).withColumn("_came", C("_in") & ~F.lag("_in", 1, False).over(order))
+    now = state.groupBy("crate_id", "track_id").agg(F.max_by("_in", "seq").alias("_in"), F.max(F.when(C("_came"), C("seq"))).alias("seq")).where("_in")
+    return now.select("crate_id", "track_id", (F.row_number().over(Window.partitionBy("crate_id").orderBy("seq")) - 1).alias("position"))

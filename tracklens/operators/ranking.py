@@ -14,22 +14,39 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+#: Digits by which distinct values are cut into runs that are summed apart.
+RUNS = 1000
+
+
 def strict_percentile(df: DataFrame, column: str, keys: list[str] | None = None, name: str = "pct") -> DataFrame:
     """Share of the key's values below the row's; 0.5 where the row has none.
 
-    Distinct values are counted first and counts are summed in order, so rows never meet in one task; the
-    sums run over a table with a row for each distinct value.
+    Distinct values are counted first. Their counts are summed within runs of neighbouring values, cut at
+    RUNS quantiles of the counted values, and the few sums of runs are added; so no task holds a key's values.
     """
     keys = keys or []
     value = F.when(~F.isnan(C(column).cast("double")), C(column))
     counts = df.where(value.isNotNull()).groupBy(*keys, C(column).alias("_v")).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(*keys)
-    pct = counts.withColumn("_p", F.coalesce(F.sum("_n").over(order), F.lit(0)) / F.sum("_n").over(every)).drop("_n")
+    cuts = counts.agg(F.array_distinct(F.array_sort(F.percentile_approx(C("_v").cast("double"), [i / RUNS for i in range(1, RUNS)], 10 * RUNS))).alias("_c"))
+    place = F.aggregate(F.sequence(F.lit(1), F.lit(10)), F.struct(F.lit(0).alias("a"), F.size("_c").alias("b")), lambda s, _: _halved(s))  # 2**10 runs
+    runs = counts.crossJoin(F.broadcast(cuts)).withColumn("_r", F.coalesce(place["a"], F.lit(0))).drop("_c")
+    order = Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    sums = runs.groupBy(*keys, "_r").agg(F.sum("_n").alias("_s"))
+    before = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("_b", F.coalesce(F.sum("_s").over(before), F.lit(0))).withColumn("_a", F.sum("_s").over(Window.partitionBy(*keys))).drop("_s")
+    pct = runs.withColumn("_p", F.coalesce(F.sum("_n").over(order), F.lit(0))).join(F.broadcast(starts) if not keys else starts, [*keys, "_r"]).select(*keys, "_v", ((C("_p") + C("_b")) / C("_a")).alias("_p"))
     met = df.withColumn("_v", value).join(pct, [*keys, "_v"], "left")
     return met.withColumn(name, F.coalesce("_p", F.lit(0.5))).drop("_v", "_p")
 
 
+def _halved(s):
+    """A step of a binary search for the number of cuts that aren't above a value."""
+    middle = F.floor((s["a"] + s["b"]) / 2).cast("int")
+    above = F.element_at("_c", middle + 1) > C("_v")
+    done = s["a"] >= s["b"]
+    return F.struct(F.when(done | above, s["a"]).otherwise(middle + 1).alias("a"), F.when(~done & above, middle).otherwise(s["b"]).alias("b"))
+
+
 def top_k(df: DataFrame, keys: list[str], order: list, k: int, name: str = "rank") -> DataFrame:
     """The first k rows of each key, ranked from 1."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(C(name) <= k)

@@ -76,14 +76,17 @@ WITH m AS (SELECT track_id, CASE WHEN cluster = 0 THEN -1 ELSE cluster END AS cl
 f AS (SELECT track_id, 'g' || (vec % 4) AS tag, 'genre' AS family, (vec * 7 % 101)::DOUBLE AS value FROM (SELECT *, CAST(substr(track_id, 2) AS INT) AS vec FROM tracks) WHERE cluster < 5 UNION ALL SELECT track_id, 'v' || (vec % 5), 'clap', (vec * 11 % 103)::DOUBLE FROM (SELECT *, CAST(substr(track_id, 2) AS INT) AS vec FROM tracks) WHERE cluster < 5),
 a AS (SELECT cluster, family, tag, avg(value) AS v FROM f JOIN m USING (track_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cluster, family ORDER BY v DESC, tag) AS n FROM a),
 s AS (SELECT cluster, string_agg(tag, ' / ' ORDER BY n) FILTER (family = 'genre') || ' · ' || string_agg(tag, ' / ' ORDER BY n) FILTER (family = 'clap') AS said FROM r WHERE n <= 2 GROUP BY cluster),
-t AS (SELECT cluster, median(bpm) AS b FROM m GROUP BY cluster)
-SELECT t.cluster, CASE WHEN t.cluster = -1 THEN 'Outliers / one-offs' ELSE coalesce(said, format('{} BPM', round_even(b, 0)::INT)) END AS name FROM t LEFT JOIN s USING (cluster)""", "tracks")
+p AS (SELECT CASE WHEN cluster = 0 THEN -1 ELSE cluster END AS cluster, created_at, duration_sec, bpm FROM tracks), t AS (SELECT cluster, median(bpm) AS b, median(created_at) AS light, median(duration_sec) AS power FROM p GROUP BY cluster),
+q AS (SELECT t.cluster, least(3, floor(4.0::DOUBLE * count(*) FILTER (p.created_at < light) / count(*))::INT) AS l, least(3, floor(4.0::DOUBLE * count(*) FILTER (p.duration_sec < power) / count(*))::INT) AS e FROM t, p GROUP BY t.cluster)
+SELECT t.cluster, CASE WHEN t.cluster = -1 THEN 'Outliers / one-offs' ELSE coalesce(said, format('{} BPM', round_even(b, 0)::INT)) END AS name,
+ CASE WHEN t.cluster = -1 THEN 'Outliers / one-offs' ELSE concat(['deep', 'round', 'bright', 'crisp'][l + 1], ' & ', ['mellow', 'warm', 'driving', 'intense'][e + 1], ' · ', format('{} BPM', round_even(b, 0)::INT)) END AS felt FROM t JOIN q USING (cluster) LEFT JOIN s USING (cluster)""", "tracks")
 def a8(spark, sf):
     t = view(spark, sf, "tracks").withColumn("vec", F.substring("track_id", 2, 9).cast("int"))
     members = t.select("track_id", F.when(C("cluster") == 0, -1).otherwise(C("cluster")).alias("cluster"), "bpm")
     low = t.where("cluster < 5")
     f = low.selectExpr("track_id", "concat('genre::g', vec % 4) AS feature_key", "CAST(vec * 7 % 101 AS DOUBLE) AS value").union(low.selectExpr("track_id", "concat('clap::v', vec % 5)", "CAST(vec * 11 % 103 AS DOUBLE)"))
-    return aggregates.cluster_names(members, f)
+    felt = t.select("track_id", F.when(C("cluster") == 0, -1).otherwise(C("cluster")).alias("cluster"), "bpm", C("created_at").alias("brightness"), C("duration_sec").alias("energy_rms"))
+    return aggregates.cluster_names(members, f).join(aggregates.cluster_names(felt, f.limit(0)).withColumnRenamed("name", "felt"), "cluster")
 
 
 @query("a9_cluster_summary", f"""
@@ -195,13 +198,13 @@ def a21(spark, sf):
 
 
 @query("a22_manifest_summary", """
-WITH s AS (SELECT run_id, extractor, min(status) AS status, max(attempt_count) AS attempts FROM stages GROUP BY ALL), d AS (SELECT o_orderkey AS run_id, unnest(['librosa', 'clap', 'essentia']) AS extractor FROM orders WHERE o_orderkey % 9 = 0),
-m AS (SELECT coalesce(d.run_id, s.run_id) AS track_id, d.extractor = 'librosa' AS required, coalesce(status, '') = 'succeeded' AS good, attempts, d.extractor IS NULL AS undeclared FROM d FULL JOIN (SELECT * FROM s WHERE run_id % 9 = 0 OR run_id % 100 = 1) s ON d.run_id = s.run_id AND d.extractor = s.extractor)
+WITH s AS (SELECT run_id, extractor, min(status) AS status, max(attempt_count) AS attempts FROM stages GROUP BY ALL), d AS (SELECT o_orderkey AS run_id, unnest(['librosa', 'clap', 'essentia']) AS extractor FROM orders WHERE o_orderstatus <> 'P'),
+m AS (SELECT coalesce(d.run_id, s.run_id) AS track_id, d.extractor = 'librosa' AS required, coalesce(status, '') = 'succeeded' AS good, attempts, d.extractor IS NULL AS undeclared FROM d FULL JOIN s ON d.run_id = s.run_id AND d.extractor = s.extractor)
 SELECT track_id, count(*) FILTER (required AND good) AS required_succeeded, count(*) FILTER (required AND NOT good) AS required_failed, count(*) FILTER (NOT required AND NOT good) AS optional_failed, coalesce(sum(attempts), 0)::BIGINT AS attempts, count(*) FILTER (undeclared) AS undeclared,
  CASE WHEN count(*) FILTER (undeclared) > 0 THEN 'rejected' WHEN count(*) FILTER (required AND NOT good) > 0 THEN 'failed' WHEN count(*) FILTER (NOT required AND NOT good) > 0 THEN 'degraded' ELSE 'ready_deep' END AS readiness FROM m GROUP BY track_id""", "stages")
 def a22(spark, sf):
-    outcomes = view(spark, sf, "stages").where("run_id % 9 = 0 OR run_id % 100 = 1").groupBy(C("run_id").alias("track_id"), "extractor").agg(F.min("status").alias("status"), F.max("attempt_count").alias("attempts"))
-    declared = view(spark, sf, "orders").where("o_orderkey % 9 = 0").select(C("o_orderkey").alias("track_id"), F.explode(F.array(*map(F.lit, ("librosa", "clap", "essentia")))).alias("extractor")).withColumn("required", C("extractor") == "librosa")
+    outcomes = view(spark, sf, "stages").groupBy(C("run_id").alias("track_id"), "extractor").agg(F.min("status").alias("status"), F.max("attempt_count").alias("attempts"))
+    declared = view(spark, sf, "orders").where("o_orderstatus <> 'P'").select(C("o_orderkey").alias("track_id"), F.explode(F.array(*map(F.lit, ("librosa", "clap", "essentia")))).alias("extractor")).withColumn("required", C("extractor") == "librosa")
     return aggregates.manifest_summary(declared, outcomes)
 
 

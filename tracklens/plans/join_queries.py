@@ -91,7 +91,9 @@ def f8(spark, sf):
     return filters.rankable(t).select("track_id")
 
 
-ROWS = "rows_ AS (SELECT event_id, concat('track', CAST(event_id % 600 AS STRING)) AS t, concat('artist', CAST((event_id % 600) % 40 AS STRING)) AS a FROM events WHERE event_id % 13 = 0)"
+#: Names of source rows: every fifth id is another row's, too; names past the catalogue's match nothing.
+NUMBER = "CASE WHEN event_id % 5 = 0 THEN event_id + 1 ELSE event_id END"
+ROWS = f"rows_ AS (SELECT event_id, concat('track', CAST({NUMBER} AS STRING)) AS t, concat('artist', CAST(({NUMBER}) % 40 AS STRING)) AS a FROM events)"
 IDENT = "ident AS (SELECT track_id, lower(regexp_replace(title, '[^A-Za-z0-9]', '', 'g')) AS t, lower(regexp_replace(artist, '[^A-Za-z0-9]', '', 'g')) AS a FROM tracks)"
 J1_SQL = f"""
 WITH {ROWS}, {IDENT}, bt AS (SELECT t, a, count(*) AS n, min(track_id) AS track FROM ident GROUP BY t, a), br AS (SELECT t, a, count(*) AS n FROM rows_ GROUP BY t, a)
@@ -99,8 +101,11 @@ SELECT event_id, CASE WHEN bt.n = 1 AND br.n = 1 THEN 'matched' WHEN bt.n IS NOT
 
 
 def identity_match(spark, sf):
-    rows = view(spark, sf, "events").where("event_id % 13 = 0").selectExpr("event_id", "concat('TRACK-', CAST(event_id % 600 AS STRING)) AS title", "concat('Artist, ', CAST((event_id % 600) % 40 AS STRING)) AS artist")
-    ident = lambda df: df.withColumn("t", S.identity_part(C("title"))).withColumn("a", S.identity_part(C("artist")))
+    # composed, decomposed and full-width spellings of one name
+    word = "CASE event_id % 4 WHEN 0 THEN 'TRACK-' WHEN 1 THEN 'Tr\u00e1ck ' WHEN 2 THEN 'Tra\u0301ck. ' ELSE '\uff34\uff52\uff41\uff43\uff4b ' END"
+    rows = view(spark, sf, "events").selectExpr("event_id", f"concat({word}, CAST({NUMBER} AS STRING)) AS title", f"concat('Artist, ', CAST(({NUMBER}) % 40 AS STRING)) AS artist")
+    fold = S.identity_unicode()
+    ident = lambda df: df.withColumn("t", fold("title")).withColumn("a", fold("artist"))
     return joins.unique_identity_join(ident(view(spark, sf, "tracks")), ident(rows), ["t", "a"])
 
 
@@ -111,7 +116,7 @@ def j1(spark, sf):
 
 @query("j2_device_path_join", "SELECT track_id, bpm AS export_bpm FROM tracks", "tracks")
 def j2(spark, sf):
-    t = view(spark, sf, "tracks").select("track_id", "bpm", S.device_path(C("location")).alias("path"))
+    t = view(spark, sf, "tracks").select("track_id", "bpm", S.device_path()(C("location")).alias("path"))
     export = t.select("path", C("bpm").alias("export_bpm"))
     return joins.closed_join(t.select("track_id", "path"), export, "path").select("track_id", "export_bpm")
 
@@ -132,8 +137,13 @@ def results(spark, sf):
     t = view(spark, sf, "tracks")
     anchors = t.where("track_id < 't000008'").select(C("track_id").alias("anchor_track_id"))
     pairs = t.select("track_id", "created_at").join(F.broadcast(anchors), C("track_id") != C("anchor_track_id")).select("anchor_track_id", C("track_id").alias("candidate_track_id"), "created_at", F.explode(F.array(F.lit("c1"), F.lit("c2"))).alias("configuration_id"))
-    place = (C("created_at") * F.when(C("configuration_id") == "c1", 1).otherwise(7)) % 1009
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("configuration_id", "anchor_track_id").orderBy(place, "candidate_track_id"))).drop("created_at")
+    ranking = ["configuration_id", "anchor_track_id"]
+    pairs = pairs.withColumn("_p", (C("created_at") * F.when(C("configuration_id") == "c1", 1).otherwise(7)) % 1009).drop("created_at")
+    # rows are ranked within a place; the counts of the places before, at most 1009 a ranking, are added
+    before = Window.partitionBy(*ranking).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pairs.groupBy(*ranking, "_p").agg(F.count("*").alias("_n")).withColumn("_b", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*ranking, "_p").orderBy("candidate_track_id"))
+    return pairs.withColumn("_i", within).join(starts, [*ranking, "_p"]).withColumn("rank", C("_i") + C("_b")).drop("_p", "_i", "_b")
 
 
 TRIPLETS = "triplets AS (SELECT judgment_id, configuration_id, anchor_track_id, concat('t', lpad(CAST(judgment_id % 97 AS STRING), 6, '0')) AS candidate_a, concat('t', lpad(CAST(judgment_id % 89 + 3 AS STRING), 6, '0')) AS candidate_b, CASE WHEN judgment = 'similar' THEN 'a_closer' WHEN judgment = 'skip' THEN 'tie' ELSE 'b_closer' END AS decision, dimension FROM judgments)"
@@ -157,11 +167,12 @@ def j6(spark, sf):
 
 
 @query("j7_candidate_pools", """
-SELECT a.track_id AS anchor_track_id, b.track_id AS candidate_track_id FROM tracks a JOIN tracks b ON a.track_id <> b.track_id AND CASE WHEN a.cluster = 0 THEN b.track_id IN ('t000001', 't000002', a.track_id) ELSE a.library_id = b.library_id END WHERE a.track_id < 't000020'""", "tracks")
+SELECT a.track_id AS anchor_track_id, b.track_id AS candidate_track_id FROM tracks a JOIN tracks b ON a.track_id <> b.track_id AND CASE WHEN a.cluster = 0 THEN b.track_id IN ('t000001', 't000002', a.track_id) ELSE a.library_id = b.library_id AND a.title = b.title END""", "tracks")
 def j7(spark, sf):
     t = view(spark, sf, "tracks")
-    anchors = t.where("track_id < 't000020'").select(C("track_id").alias("anchor_track_id"), C("library_id").alias("set_id"), F.when(C("cluster") == 0, F.array(F.lit("t000001"), F.lit("t000002"), C("track_id"))).alias("pool"))
-    return joins.pool_candidates(anchors, t.select(C("library_id").alias("set_id"), "track_id"))
+    own = F.concat_ws("/", "library_id", "title")  # a set: the tracks of a library under one title
+    anchors = t.select(C("track_id").alias("anchor_track_id"), own.alias("set_id"), F.when(C("cluster") == 0, F.array(F.lit("t000001"), F.lit("t000002"), C("track_id"))).alias("pool"))
+    return joins.pool_candidates(anchors, t.select(own.alias("set_id"), "track_id"))
 
 
 @query("j8_set_detail", "SELECT c_custkey AS set_id, o_orderkey AS latest_run, n_name AS library FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey")
@@ -173,9 +184,9 @@ def j8(spark, sf):
     return view(spark, sf, "customer").join(nation, "c_nationkey").join(runs, "c_custkey", "left").select(C("c_custkey").alias("set_id"), "latest_run", "library")
 
 
-@query("j9_failed_stages", "SELECT run_id, extractor, p_brand AS title FROM stages JOIN part ON track_id = p_partkey WHERE status = 'failed' AND run_id % 4 = 0", "stages")
+@query("j9_failed_stages", "SELECT run_id, extractor, p_brand AS title FROM stages JOIN part ON track_id = p_partkey WHERE status = 'failed'", "stages")
 def j9(spark, sf):
-    configs = view(spark, sf, "orders").where("o_orderkey % 4 = 0").select(C("o_orderkey").alias("run_id"))
+    configs = view(spark, sf, "orders").select(C("o_orderkey").alias("run_id"))
     tracks = view(spark, sf, "part").select(C("p_partkey").alias("track_id"), C("p_brand").alias("title"))
     return view(spark, sf, "stages").where("status = 'failed'").join(configs, "run_id").join(tracks, "track_id").select("run_id", "extractor", "title")
 
@@ -189,10 +200,10 @@ def j10(spark, sf):
 
 
 @query("j11_reuse_evidence", """
-SELECT t.stage_id, max_by(d.stage_id, (d.finished_at, -d.stage_id)) AS donor_id FROM stages t JOIN stages d ON t.cache_key = d.cache_key AND t.stage_id <> d.stage_id AND d.status = 'succeeded' WHERE t.status = 'queued' AND t.run_id % 5 = 0 GROUP BY t.stage_id, t.cache_key""", "stages")
+SELECT t.stage_id, max_by(d.stage_id, (d.finished_at, -d.stage_id)) AS donor_id FROM stages t JOIN stages d ON t.cache_key = d.cache_key AND t.stage_id <> d.stage_id AND d.status = 'succeeded' WHERE t.status = 'queued' GROUP BY t.stage_id, t.cache_key""", "stages")
 def j11(spark, sf):
     s = view(spark, sf, "stages")
-    return joins.reuse_evidence(s.where("status = 'queued' AND run_id % 5 = 0").select("stage_id", "cache_key").distinct(), s).select("stage_id", "donor_id")
+    return joins.reuse_evidence(s.where("status = 'queued'").select("stage_id", "cache_key").distinct(), s).select("stage_id", "donor_id")
 
 
 @query("j12_reusable_analysis", """
@@ -336,10 +347,15 @@ def m7(spark, sf):
 
 
 @query("m8_crate_replay", """
-WITH e AS (SELECT user_id AS crate_id, event_id % 50 AS track_id, event_id, event_type <> 'error' AS added, row_number() OVER (PARTITION BY user_id, event_id % 50 ORDER BY event_id DESC) AS n FROM events WHERE event_type IN ('click', 'view', 'error'))
-SELECT crate_id, track_id, (row_number() OVER (PARTITION BY crate_id ORDER BY event_id) - 1)::INT AS position FROM e WHERE n = 1 AND added""")
+WITH RECURSIVE own AS (SELECT user_id AS crate_id, event_id % 7 AS track_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'add' WHEN 'view' THEN 'toggle' ELSE 'remove' END AS action FROM events WHERE event_type <> 'signup' OR event_id % 50 > 0),
+e AS (SELECT * FROM own UNION ALL SELECT crate_id, track_id, seq, 'remove' FROM (SELECT DISTINCT crate_id, track_id FROM own) JOIN (SELECT event_id % 7 AS track_id, event_id AS seq FROM events WHERE event_type = 'signup' AND event_id % 50 = 0) USING (track_id)),
+n AS (SELECT *, row_number() OVER (PARTITION BY crate_id, track_id ORDER BY seq) AS i, count(*) OVER (PARTITION BY crate_id, track_id) AS last FROM e),
+walk AS (SELECT crate_id, track_id, i, last, action <> 'remove' AS held, CASE WHEN action <> 'remove' THEN seq END AS came FROM n WHERE i = 1
+ UNION ALL SELECT n.crate_id, n.track_id, n.i, n.last, CASE n.action WHEN 'add' THEN true WHEN 'remove' THEN false ELSE NOT held END, CASE WHEN held AND n.action = 'add' THEN came WHEN n.action = 'remove' OR (held AND n.action = 'toggle') THEN NULL ELSE n.seq END FROM walk JOIN n ON n.crate_id = walk.crate_id AND n.track_id = walk.track_id AND n.i = walk.i + 1)
+SELECT crate_id, track_id, (row_number() OVER (PARTITION BY crate_id ORDER BY came) - 1)::INT AS position FROM walk WHERE i = last AND held""")
 def m8(spark, sf):
-    e = view(spark, sf, "events").where("event_type IN ('click', 'view', 'error')").selectExpr("user_id AS crate_id", "event_id % 50 AS track_id", "event_id AS seq", "event_type <> 'error' AS added")
+    everywhere = "event_type = 'signup' AND event_id % 50 = 0"
+    e = view(spark, sf, "events").selectExpr("user_id AS crate_id", "event_id % 7 AS track_id", "event_id AS seq", f"CASE WHEN {everywhere} THEN 'remove_all' WHEN event_type = 'click' THEN 'add' WHEN event_type = 'view' THEN 'toggle' ELSE 'remove' END AS action")
     return merges.replay_crate(e).select("crate_id", "track_id", "position")
 
 

@@ -110,9 +110,10 @@ def p13(spark, sf):
     return view(spark, sf, "tracks").withColumn("tags", tags).select("track_id", S.tag_bpm(C("tags")).alias("bpm"), S.tag_key(C("tags")).alias("k"))
 
 
-@query("p14_device_path", "SELECT track_id, lower(substr(location, 2)) AS path FROM tracks", "tracks")
+@query("p14_device_path", "SELECT track_id, replace(lower(nfc_normalize(concat(substr(location, 2), CASE WHEN cluster < 5 THEN 'Stra\u00dfe/M\u00fcsic' ELSE '' END))), '\u00df', 'ss') AS path FROM tracks", "tracks")
 def p14(spark, sf):
-    return view(spark, sf, "tracks").select("track_id", S.device_path(F.replace("location", F.lit("/"), F.lit("\\"))).alias("path"))
+    place = F.concat(F.replace("location", F.lit("/"), F.lit("\\")), F.when(C("cluster") < 5, "Stra\u00dfe\\Mu\u0308sic/ ").otherwise(""))
+    return view(spark, sf, "tracks").select("track_id", S.device_path()(F.concat(F.lit(" /"), place)).alias("path"))
 
 
 @query("p15_content_type", "SELECT track_id, CASE WHEN track_id < 't000100' THEN 'audio/mp4' WHEN track_id < 't000200' THEN 'application/octet-stream' ELSE 'audio/wav' END AS kind FROM tracks", "tracks")

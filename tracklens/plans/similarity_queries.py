@@ -10,7 +10,8 @@ from tracklens.plans.adapters import view
 from tracklens.plans.base import query
 from tracklens.plans.aggregate_queries import METRICS, metrics
 from tracklens.plans.join_queries import RESULTS, STUDIO, TRIPLETS, results, studio
-from tracklens.plans.scalar_queries import fnv_sql
+from tracklens.plans.scalar_queries import NEIGHBOURS, fnv_sql
+from tracklens.sources.shared import shared_path
 
 C = F.col
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda t: t[1] * t[2]))"
@@ -124,17 +125,26 @@ def k14(spark, sf):
 
 
 @query("k15_prompt_scores", f"""
-WITH n AS (SELECT track_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda w: w::DOUBLE * w::DOUBLE)))) AS u FROM tracks) SELECT a.track_id, b.track_id AS prompt, round({DOT.format(a='a.u', b='b.u')}, 6) AS score FROM n a JOIN n b ON b.track_id < 't000005'""", "tracks")
+WITH n AS (SELECT track_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda w: w::DOUBLE * w::DOUBLE)))) AS u FROM tracks), s AS (SELECT a.track_id, b.track_id AS prompt, {DOT.format(a='a.u', b='b.u')} AS score FROM n a JOIN n b ON b.track_id < 't000008'),
+r AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, prompt) AS n FROM s)
+SELECT track_id, string_agg('vibe::' || prompt, ',' ORDER BY prompt) FILTER (n <= 6) AS top, round(sum(round(score, 4)) FILTER (n <= 6), 4) AS top_sum, string_agg(prompt, ' / ' ORDER BY n) FILTER (n <= 3) AS mood_top, arg_min(prompt, n) AS genre_pred,
+ round(avg(score) FILTER (prompt IN ('t000001', 't000002')), 5) AS energy_rms, round(avg(score) FILTER (prompt IN ('t000003', 't000004', 't000005')), 5) AS engagement FROM r GROUP BY track_id""", "tracks")
 def k15(spark, sf):
     t = view(spark, sf, "tracks")
-    bank = t.where("track_id < 't000005'").select(C("track_id").alias("prompt"), "embedding")
-    return similarity.prompt_scores(t, bank).select("track_id", "prompt", F.round("score", 6).alias("score"))
+    bank = t.where("track_id < 't000008'").select(C("track_id").alias("prompt"), "embedding")
+    f = similarity.prompt_features(similarity.prompt_scores(t, bank), ["t000001", "t000002"], ["t000003", "t000004", "t000005"])
+    total = F.aggregate(F.map_values("top"), F.lit(0.0), lambda a, x: a + x)
+    return f.select("track_id", F.concat_ws(",", F.array_sort(F.map_keys("top"))).alias("top"), F.round(total, 4).alias("top_sum"), "mood_top", "genre_pred", "energy_rms", "engagement")
 
 
-@query("k16_head_scores", "SELECT l_partkey AS track_id, l_returnflag AS head, l_linestatus AS label, round(avg(l_discount), 6) AS score FROM lineitem GROUP BY ALL")
+@query("k16_head_scores", """
+WITH s AS (SELECT l_partkey AS track_id, l_returnflag AS head, CAST(l_quantity AS INT) % 9 AS label, avg(l_extendedprice::DOUBLE / 100000) AS score FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY track_id, head ORDER BY score DESC, label) AS n FROM s)
+SELECT track_id, count(*) FILTER (head IN ('A', 'N') AND n <= 6) AS top, round(sum(round(score, 4)) FILTER (head IN ('A', 'N') AND n <= 6), 4) AS top_sum, max(label::VARCHAR) FILTER (head = 'N' AND n = 1) AS best, max(round(score, 4)) FILTER (head = 'R' AND label = 4) AS picked FROM r GROUP BY track_id""")
 def k16(spark, sf):
-    f = view(spark, sf, "lineitem").select(C("l_partkey").alias("track_id"), C("l_returnflag").alias("head"), C("l_linestatus").alias("label"), C("l_discount").cast("double").alias("value"))
-    return similarity.head_scores(f).select("track_id", "head", "label", F.round("score", 6).alias("score"))
+    f = view(spark, sf, "lineitem").select(C("l_partkey").alias("track_id"), C("l_returnflag").alias("head"), (C("l_quantity").cast("int") % 9).cast("string").alias("label"), (C("l_extendedprice").cast("double") / 100000).alias("value"))
+    out = similarity.head_features(similarity.head_scores(f), ["A", "N"], {"R": "4"})
+    total = F.aggregate(F.map_values("top"), F.lit(0.0), lambda a, x: a + x)
+    return out.select("track_id", F.size("top").cast("long").alias("top"), F.when(F.size("top") > 0, F.round(total, 4)).alias("top_sum"), C("best")["N"].alias("best"), C("picks")["R"].alias("picked"))
 
 
 @query("t1_candidates", """
@@ -229,25 +239,27 @@ def x1(spark, sf):
     return out.where("features['n'] > 1").select("track_id", "extractor", "version", C("features")["n"].alias("n"))
 
 
-@query("n1_late_fusion", f"WITH {RESULTS} SELECT anchor_track_id, candidate_track_id, round(sum(w / rank) / sum(w), 6) AS score FROM (SELECT *, CASE configuration_id WHEN 'c1' THEN 0.7 ELSE 0.3 END::DOUBLE AS w FROM results WHERE rank <= 100) GROUP BY ALL", "tracks")
+@query("n1_late_fusion", f"WITH {RESULTS} SELECT anchor_track_id, candidate_track_id, round(sum(w / rank) / sum(w), 6) AS score FROM (SELECT *, CASE configuration_id WHEN 'c1' THEN 0.7 ELSE 0.3 END::DOUBLE AS w FROM results WHERE configuration_id = 'c1' OR rank % 3 > 0) GROUP BY ALL", "tracks")
 def n1(spark, sf):
-    weight = F.when(C("configuration_id") == "c1", 0.7).otherwise(0.3)
-    return results(spark, sf).where("rank <= 100").groupBy("anchor_track_id", "candidate_track_id").agg(F.round(F.sum(weight / C("rank")) / F.sum(weight), 6).alias("score"))
+    """A channel lacks every third of its candidates."""
+    scores = results(spark, sf).where("configuration_id = 'c1' OR rank % 3 > 0").select(C("anchor_track_id").alias("source"), C("candidate_track_id").alias("target"), C("configuration_id").alias("channel"), (1 / C("rank")).alias("score"))
+    return similarity.late_fusion(scores, {"c1": 0.7, "c2": 0.3}).select(C("source").alias("anchor_track_id"), C("target").alias("candidate_track_id"), F.round("score", 6).alias("score"))
 
 
-@query("n2_mix_compatibility", """
-SELECT track_id, round(CASE WHEN musical_key = '8A' THEN 1 ELSE 0 END * 0.5 + 0.5 * coalesce(exp(-pow((bpm - 122) / CAST(4 AS DOUBLE), 2) / 2), 0), 6) AS score FROM tracks""", "tracks")
+@query("n2_mix_compatibility", f"""
+WITH p AS (SELECT track_id, exp(-pow((bpm - 122) / CAST(4 AS DOUBLE), 2) / 2) AS b, CASE WHEN musical_key = '' THEN NULL WHEN musical_key = '8A' OR list_contains(string_split({NEIGHBOURS.format(k='musical_key')}, ','), '8A') THEN 1.0 ELSE 0.0 END::DOUBLE AS k, 1 - abs(energy_rating - 6) / CAST(9 AS DOUBLE) AS e FROM tracks)
+SELECT track_id, round((coalesce(b * 0.4::DOUBLE, 0) + coalesce(k * 0.4::DOUBLE, 0) + coalesce(e * 0.2::DOUBLE, 0)) / nullif(CASE WHEN b IS NULL THEN 0 ELSE 0.4::DOUBLE END + CASE WHEN k IS NULL THEN 0 ELSE 0.4::DOUBLE END + CASE WHEN e IS NULL THEN 0 ELSE 0.2::DOUBLE END, 0), 6) AS score FROM p""", "tracks")
 def n2(spark, sf):
-    same = F.when(C("musical_key") == "8A", 0.5).otherwise(0.0)
-    return view(spark, sf, "tracks").select("track_id", F.round(same + 0.5 * F.coalesce(projection.similarity(C("bpm"), F.lit(122.0), 4.0), F.lit(0.0)), 6).alias("score"))
+    score = similarity.mix_compatibility(C("bpm"), C("musical_key"), C("energy_rating").cast("double"), F.lit(122.0), F.lit("8A"), F.lit(6.0))
+    return view(spark, sf, "tracks").select("track_id", F.round(score, 6).alias("score"))
 
 
 @query("n3_frozen_projection")
 def n3(spark, sf):
-    """Axes fitted on one library, coordinates of the other's tracks."""
-    t = view(spark, sf, "tracks")
-    mean, axes = projection.principal_axes(t.where("library_id = 'L1'").select("track_id", "embedding"))
-    return projection.project(t.where("library_id = 'L2'").select("track_id", "embedding"), mean, axes).select("track_id", "x", "y")
+    """A projection fitted on one library and saved; coordinates of the other's tracks."""
+    t, path = view(spark, sf, "tracks"), shared_path(spark, "projection")
+    projection.save_projection(t.where("library_id = 'L1'").select("track_id", "embedding"), path)
+    return projection.project_frozen(t.where("library_id = 'L2'").select("track_id", "embedding"), path).select("track_id", "x", "y")
 
 
 @query("n4_promotions", f"""

@@ -19,10 +19,11 @@ def s3(spark, sf):
     return catalogue.scan_files(spark, path).where("NOT endswith(path, '_SUCCESS')").groupBy("status", "suffix").agg(F.count_distinct(F.regexp_extract("path", "cluster=([0-9]+)", 1)).alias("n"))
 
 
-@query("s4_content_hash", "SELECT sha256(concat(track_id, chr(10))) AS content_hash, 8::BIGINT AS size FROM tracks WHERE track_id < 't000020'", "tracks")
+@query("s4_content_hash", "SELECT sha256(string_agg(concat(track_id, chr(10)), '' ORDER BY track_id)) AS content_hash, 8 * count(*) AS size FROM tracks GROUP BY title", "tracks")
 def s4(spark, sf):
+    """A file for each title, with all of its tracks."""
     path = shared_path(spark, "hash")
-    view(spark, sf, "tracks").where("track_id < 't000020'").select(C("track_id").alias("text"), "track_id").repartition(C("track_id")).write.partitionBy("track_id").text(path)
+    view(spark, sf, "tracks").select(C("track_id").alias("text"), "title").repartition(C("title")).sortWithinPartitions("title", "text").write.partitionBy("title").text(path)
     return catalogue.scan_files(spark, path).where("size > 0").select("content_hash", "size")
 
 
@@ -66,15 +67,11 @@ def s11(spark, sf):
     return sinks.read_snapshot(spark, path, 1).select("track_id", "title")
 
 
-def every_item(spark, sf):
-    return view(spark, sf, "events").where("event_type = 'click'").selectExpr("user_id", "concat('Crate ', user_id) AS crate", "event_id AS position", "concat('t', lpad(CAST(event_id % 900 AS STRING), 6, '0')) AS track_id")
-
-
 def items(spark, sf):
-    return every_item(spark, sf).where("user_id % 10 = 0").drop("user_id")
+    return view(spark, sf, "events").where("event_type = 'click'").selectExpr("concat('Crate ', user_id) AS crate", "event_id AS position", "concat('t', lpad(CAST(event_id % 900 AS STRING), 6, '0')) AS track_id")
 
 
-ITEMS = "items AS (SELECT concat('Crate ', user_id) AS crate, event_id AS position, concat('t', lpad(CAST(event_id % 900 AS VARCHAR), 6, '0')) AS track_id FROM events WHERE event_type = 'click' AND user_id % 10 = 0)"
+ITEMS = "items AS (SELECT concat('Crate ', user_id) AS crate, event_id AS position, concat('t', lpad(CAST(event_id % 900 AS VARCHAR), 6, '0')) AS track_id FROM events WHERE event_type = 'click')"
 
 
 def exported(spark, sf):
@@ -101,15 +98,27 @@ def s13(spark, sf):
 def s14(spark, sf):
     t = exported(spark, sf)
     assigned = t.where("cluster < 4").select("track_id", (C("cluster") - 1).alias("cluster"), F.concat(F.lit("Cluster "), C("cluster").cast("string")).alias("cluster_name"), F.when(C("cluster") > 0, "Peak time").alias("moment"), F.xxhash64("track_id").bitwiseAND(F.lit((1 << 40) - 1)).alias("position"))
-    return sinks.collection_lines("x1", t, every_item(spark, sf).drop("user_id"), assigned, "Tracklens").orderBy("section", "major", "minor")
+    return sinks.collection_lines("x1", t, items(spark, sf), assigned, "Tracklens").orderBy("section", "major", "minor")
+
 
+UNIT = "list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda w: w::DOUBLE * w::DOUBLE))))"
 
-@query("s16_partition_replace", "SELECT library_id, track_id, CASE WHEN library_id = 'L2' THEN 'new' ELSE 'old' END AS state FROM tracks WHERE library_id = 'L1' OR cluster < 3", "tracks")
+
+@query("s16_partition_replace", f"""
+WITH u AS (SELECT track_id, cluster, {UNIT} AS u FROM tracks), p AS (SELECT 'r1' AS run_id, 'sound & tone' AS channel, * FROM u WHERE cluster = 2 UNION ALL SELECT 'r2', 'global', * FROM u WHERE cluster = 3),
+k AS (SELECT a.run_id, a.channel, a.track_id AS source, b.track_id AS target, greatest(-1, least(1, list_sum(list_transform(list_zip(a.u, b.u), lambda t: t[1] * t[2])))) AS score FROM p a JOIN p b ON a.run_id = b.run_id AND a.track_id <> b.track_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY run_id, source ORDER BY score DESC, target)::INT AS rank FROM k)
+SELECT run_id, channel, source, target, rank, round(score, 6) AS score, 'm' AS model FROM r WHERE rank <= 3""", "tracks")
 def s16(spark, sf):
-    path, t = shared_path(spark, "edges"), view(spark, sf, "tracks").select("library_id", "track_id", "cluster")
-    sinks.replace_partitions(t.withColumn("state", F.lit("old")), path, "library_id")
-    sinks.replace_partitions(t.where("library_id = 'L2' AND cluster < 3").withColumn("state", F.lit("new")), path, "library_id")
-    return spark.read.parquet(path).select("library_id", "track_id", "state")
+    """Neighbours of two runs; one is stored twice, and one of a single track leaves its partition empty."""
+    from tracklens.operators.similarity import materialize_neighbours
+
+    path, t = shared_path(spark, "neighbours"), view(spark, sf, "tracks")
+    runs = spark.createDataFrame([(r, "completed") for r in ("r1", "r2", "r3")], "run_id string, status string")
+    vectors = lambda run, rows: rows.select(F.lit(run).alias("run_id"), F.lit("track").alias("scope"), F.lit("k").alias("embedding_key"), "track_id", F.lit("m").alias("model_name"), F.lit("1").alias("model_version"), F.lit("mean").alias("pooling_strategy"), "embedding")
+    for run, channel, rows in (("r1", "sound & tone", "cluster = 1"), ("r2", "global", "cluster = 3"), ("r3", "global", "cluster = 1"), ("r3", "global", "track_id = 't000001'"), ("r1", "sound & tone", "cluster = 2")):
+        materialize_neighbours(vectors(run, t.where(rows)), runs, path, run, channel, "k", 3)
+    return spark.read.parquet(path).select("run_id", "channel", C("source_track_id").alias("source"), C("target_track_id").alias("target"), "rank", F.round("score", 6).alias("score"), C("provenance.model_name").alias("model"))
 
 
 @query("s17_vector_codec", "SELECT vec_id, 256 AS bytes, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM embeddings")
@@ -119,8 +128,8 @@ def s17(spark, sf):
     return back.select("vec_id", "bytes", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
 
 
-@query("s19_vector_store", "SELECT track_id, len(embedding)::INT AS n FROM tracks", "tracks")
+@query("s19_vector_store", "SELECT track_id, unnest(range(len(embedding)))::INT AS pos, unnest(embedding) AS v FROM tracks", "tracks")
 def s19(spark, sf):
     path = shared_path(spark, "vectors")
     view(spark, sf, "tracks").select("track_id", "embedding").write.parquet(path)
-    return spark.read.parquet(path).select("track_id", F.size("embedding").alias("n"))
+    return spark.read.parquet(path).select("track_id", F.posexplode("embedding").alias("pos", "v"))

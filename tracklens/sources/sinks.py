@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklens.functions import scalars as S
+from tracklens.sources.shared import shared_path
 
 C = F.col
 # The columns of a CSV export.
@@ -17,6 +18,19 @@ def replace_partitions(df: DataFrame, path: str, *keys: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+def replace_partition(df: DataFrame, path: str, **keys: str) -> None:
+    """Makes df the content of the one partition that keys name, also if df has no rows.
+
+    df is computed and kept beside the table first; a failure leaves the old partition in place.
+    """
+    from urllib.parse import quote
+
+    spark, ready = df.sparkSession, shared_path(df.sparkSession, "ready")
+    df.write.parquet(ready)
+    place = "/".join(f"{name}={quote(value, safe='')}" for name, value in keys.items())
+    spark.read.schema(df.schema).parquet(ready).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{place}")
+
+
 def write_snapshot(df: DataFrame, path: str, layout_version: int) -> None:
     replace_partitions(df.withColumn("layout_version", F.lit(layout_version)), path, "layout_version")
 
