@@ -114,7 +114,41 @@ def test_neighbours_agree_with_merging():
     for a, b in rng.integers(0, len(t.words), (3000, 2)):
         x, y = t.words[a], t.words[b]
         if pieces.MARK not in y and x.strip(pieces.MARK):
-            assert t.neighbours(int(a), int(b)) == (t.merges(x + y)[0] == [x, y])
+            assert (t.link(int(a), int(b)) == 0) == (t.merges(x + y)[0] == [x, y])
+
+
+def every_path(t, text):
+    """All paths through the lattice of a normalised text as (weight, pieces and characters)."""
+    paths = [[(0.0, (), -1)]]
+    for end in range(1, len(text) + 1):
+        here = [(w + pieces.FALLBACK * len(text[end - 1].encode()), (*p, text[end - 1]), -1) for w, p, _ in paths[end - 1]]
+        for start, piece in [(e + 1 - size, p) for e, (size, p) in t.pieces.arcs(text) if e + 1 == end]:
+            here += [(w + pieces.PIECE + t.link(a, piece), (*p, t.words[piece]), piece) for w, p, a in paths[start]]
+        paths.append([x for x in here if x[0] < pieces.NEVER])
+    return paths[-1]
+
+
+def test_shortest_path_is_the_least_of_all_paths(sentencepiece):
+    t = pieces.transducer()
+    for text in ("▁the", "▁token", "thers", "▁ab的c", "aaab", "▁inter"):
+        weight, path, _ = min(every_path(t, text))
+        ids = [i for p in path for i in ([t.ids[p]] if p in t.ids else [t.byte_ids[b] for b in p.encode()])]
+        assert list(t.shortest_path(text)) == ids
+        assert sum(w == weight for w, *_ in every_path(t, text)) == 1
+        if text[0] == pieces.MARK:
+            assert ids == sentencepiece.encode(text[1:])
+
+
+def test_normaliser_writes_marks():
+    n = pieces.Normaliser()
+    assert n.compose("a b▁\n") == "▁a▁b▁\n" and n.compose("") == "▁"
+
+
+def test_whole_documents_encode_as_in_the_library(sentencepiece, spark):
+    t = pieces.transducer()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()
+    for text in [r.text or "" for r in docs[::4]] + ["".join(r.text or "" for r in docs[:30]), "ab" * 50_000, "x " * 50_000]:
+        assert t.encode(text) == sentencepiece.encode(text)
 
 
 def test_piece_queries(docs, rows, sentencepiece, empty):

@@ -1,8 +1,9 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
-A line goes if an earlier line (smaller document, or before in the same one) is within edit distance 1 of
-it; the earliest stays. Lines are the \\n-separated parts of whole texts and are compared as they are. Blank
-lines stay. Lines of fewer than ``min_chars`` characters only go if an earlier line is identical.
+A line goes if an earlier line (smaller document, or before in the same one) is within its edit bound; the
+earliest stays. The bound is a tenth of the shorter line's length, rounded down and at most 1, so that lines
+of fewer than ``min_chars`` (10) characters, where an edit makes another line, have bound 0. Lines are the
+\\n-separated parts of whole texts and are compared as they are. Blank lines stay.
 
 1. Equal lines are one row: its hash and earliest place, combined before the shuffle.
 2. The edit is in one half of a line, so two lines within the distance share the other half. Lines whose
@@ -16,7 +17,8 @@ lines stay. Lines of fewer than ``min_chars`` characters only go if an earlier l
 6. Occurrences of lines that go are listed by document.
 
 Defined results: a null or empty text has no lines that go; equal rows are in the order of ``keyed``; an empty
-table gives an empty result; other columns pass through ``dedup`` and are ignored otherwise.
+table gives an empty result; texts and lines are read whole, however long; other columns pass through
+``dedup`` and are ignored otherwise.
 """
 
 from __future__ import annotations
@@ -55,7 +57,8 @@ def _candidates(lines: DataFrame) -> DataFrame:
     halves = lines.select("h1", F.inline(_halves(F.col("line"), F.col("n"))))
     role = F.floor(F.col("part") / 2)
     shared = halves.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min(role).alias("low"), F.max(role).alias("high"))
-    shared = shared.where((F.col("high") == 0) & (F.col("a") < F.col("b")) | (F.col("low") < F.col("high"))).select("key")
+    # staged, here and below, so that plain tables meet in joins: AQE can split a key with very many lines
+    shared = stage(shared.where((F.col("high") == 0) & (F.col("a") < F.col("b")) | (F.col("low") < F.col("high"))).select("key"), "halves")
     return halves.join(shared, "key", "left_semi").select("h1", "part").distinct()
 
 
@@ -83,7 +86,8 @@ def near_earlier(docs_keyed: DataFrame, distinct: DataFrame, min_chars: int) ->
     place = F.struct("k", "pos")
     whole = F.col("role") == 2
     # a line of ``same`` or a whole line meets those with deletions; one with a deletion meets whole lines
-    least = variants.groupBy("key").agg(F.min(F.when(~whole, place)).alias("deleted"), F.min(F.when(whole, place)).alias("whole"))
+    least = variants.groupBy("key").agg(F.min(F.when(~whole, place)).alias("deleted"), F.min(F.when(whole, place)).alias("whole"), F.count("*").alias("n"))
+    least = stage(least.where("n > 1").drop("n"), "earliest")
     met = variants.join(least, "key").withColumn("first", F.when(F.col("role") == 1, F.col("whole")).otherwise(F.col("deleted")))
     pairs = met.where(F.col("first") < place).select("k", "pos", F.col("first.k").alias("k2"), F.col("first.pos").alias("pos2")).distinct()
     texts2 = one.select(F.col("k").alias("k2"), F.col("pos").alias("pos2"), F.col("line").alias("line2"))
@@ -129,7 +133,8 @@ ORACLE_SQL = {
     "op1_line_dedup": r"""
 WITH parts AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 lines AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM parts),
-written AS (SELECT * FROM lines WHERE regexp_matches(line, '[^ 	-]')),
+written AS (SELECT * FROM lines WHERE regexp_matches(line, '[^ 	-
+]')),
 one AS (SELECT line, length(line) AS n, min(doc_id * 1000000 + pos) AS first FROM written GROUP BY line),
 halves AS (
   SELECT line, n, first, n AS longer, 0 AS kind, unnest([0, 1]) AS side, unnest([left(line, n // 2), substr(line, n // 2 + 1)]) AS half FROM one WHERE n >= 10

@@ -1,25 +1,32 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-``PieceTransducer`` compiles a model file's normaliser (a mark before the text, spaces as marks), its
-pieces and its byte fallback. Composed with an input, it is a lattice: positions of the input, an arc for
-each piece that reads the characters between two of them, arcs that read an unknown character and write
-its bytes. The model is of the BPE kind, whose encoding no sum of piece scores gives. It is given by which
-pieces may follow each other: two pieces can be neighbours if merging their characters yields them again.
-That is a transducer over (last piece, next piece) with weight 0 or infinity; composed with the lattice,
-where a piece weighs 1, it leaves one path of finite weight to every position, the shortest in the
-tropical semiring. Runs of spaces have their own arcs, as the model's merges of marks tie in score.
-
-Where no piece holds two characters side by side, no path crosses from one to the other; marks stand at
-the start of pieces only. So a text is a sequence of units (a word with the marks before it, say) that
-are encoded apart; a task remembers units it has seen.
+``PieceTransducer`` compiles three parts of a model file into states and arcs:
+
+- ``Normaliser``: from its start state an arc that reads nothing and writes a mark; then an arc that writes a
+  mark for a space or a mark, and arcs that write any other character as it is.
+- ``Pieces``: an automaton whose accepting states write a piece; that weighs PIECE.
+- Byte fallback: arcs that read any one character and write its bytes, FALLBACK each.
+
+Composed with an input this is a lattice: positions of the normalised input, an arc from one to another for
+each piece that reads the characters between them, and the fallback arcs. The model is of the BPE kind, whose
+encoding no sum of piece scores gives. It is given by which pieces may follow each other: two can be neighbours
+if merging their characters yields them again. So a third transducer, over (last piece, next piece), adds
+``link``, 0 or infinity, and the shortest path in the tropical semiring (sums along a path, least of the paths
+to a position) is the encoding. A sequence whose neighbours all fit is the encoding of its text, so at most one
+state of a position has a finite weight, and one is kept for each.
+
+Where no piece holds two characters side by side, no path crosses from one to the other; marks stand at the
+start of pieces only. So a text is a sequence of units (a word with the marks before it, say) that are composed
+apart; a task remembers units it has seen. Runs of spaces have an automaton of their own, as the model's merges of marks tie in score.
 
 Defined results: a null text counts as empty and has no pieces; a mark (U+2581) in a text reads as a space,
 as in the model's own library, so such a text doesn't come back unchanged; repeated rows are encoded
-alike; an empty table gives an empty result; other columns are ignored.
+alike; texts are read whole, however long; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from functools import lru_cache
 from pathlib import Path
@@ -32,11 +39,45 @@ from tracklens.llm.common import table, tokenizer_path
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Units and pairs of pieces that a task remembers.
-UNITS, PAIRS = 400_000, 500_000
+UNITS, PAIRS = 250_000, 500_000
+#: Weights of arcs.
+PIECE, FALLBACK, NEVER = 1, 1000, float("inf")
 #: Where units may end; parts are joined again where a piece could cross.
 _PART = re.compile(rf"{MARK}*[^\W\d_]+|{MARK}+|\d+|.", re.DOTALL)
 
 
+class Normaliser:
+    """Arcs (state, character read) -> (characters written, next state); None reads nothing, ANY any other character."""
+
+    ANY = object()
+
+    def __init__(self):
+        self.arcs = {(0, None): (MARK, 1), (1, " "): (MARK, 1), (1, MARK): (MARK, 1), (1, self.ANY): (None, 1)}
+        self.rewrites = [(c, out) for (state, c), (out, _) in self.arcs.items() if state == 1 and isinstance(c, str) and c != out]
+
+    def compose(self, text: str) -> str:
+        """What is written for a text; arcs that write what they read need no step of their own."""
+        for c, out in self.rewrites:
+            text = text.replace(c, out)
+        return self.arcs[0, None][0] + text
+
+
+class Pieces:
+    """The automaton of all pieces, with failure arcs, so that one pass over a text accepts every piece at every place."""
+
+    def __init__(self, words: list[str]):
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        for n, word in enumerate(words):
+            self.automaton.add_word(word, (len(word), n))
+        self.automaton.make_automaton()
+
+    def arcs(self, text: str):
+        """(last position read, (characters, piece)) of all arcs of the lattice, by position, the longest first."""
+        return self.automaton.iter(text)
+
+
 class PieceTransducer:
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -60,15 +101,12 @@ class PieceTransducer:
         self.runs = {len(p) for p in self.ids if not p.strip(MARK)}
         self.beside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.words = list(self.ids)
-        self.trie: dict = {}  # of reversed pieces: the arcs that end at a position
-        for n, piece in enumerate(self.words):
-            node = self.trie
-            for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[""] = n
+        self.word_ids = [(i,) for i in self.ids.values()]
+        self.normaliser, self.pieces = Normaliser(), Pieces(self.words)
         self.lives: dict[str, tuple[list, list]] = {}
-        self.pairs: dict[int, bool] = {}
+        self.pairs: dict[int, float] = {}
         self.units: dict[str, tuple[int, ...]] = {"": ()}
+        self.units_before: dict[str, tuple[int, ...]] = {}  # those of the time before the last were too many
 
     def merges(self, text: str) -> tuple[list[str], tuple[str, str]]:
         """A short text's characters, merged by score, ties from the left; and the two parts of the last merge."""
@@ -97,18 +135,20 @@ class PieceTransducer:
             self.lives[piece] = known
         return known
 
-    def neighbours(self, a: int, b: int) -> bool:
-        """Whether the arc from state a over piece b has finite weight: no merge crosses from a to b.
+    def link(self, a: int, b: int) -> float:
+        """The weight of piece b after piece a: NEVER if a merge crosses from a to b, else 0; -1 stands for other arcs.
 
         Merges go by falling score. A crossing one comes about if its score is above that of the merge that
         ends its left part (which goes first if equal) and not below that of the one that ends its right part.
         """
+        if a < 0 or b < 0:
+            return 0
         key = a << 32 | b
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            known = self.pairs[key] = self._apart(self.edges(self.words[a])[1], self.edges(self.words[b])[0])
+            known = self.pairs[key] = 0 if self._apart(self.edges(self.words[a])[1], self.edges(self.words[b])[0]) else NEVER
         return known
 
     def _apart(self, lefts: list, rights: list) -> bool:
@@ -125,35 +165,29 @@ class PieceTransducer:
             else:
                 j += 1
 
-    def shortest_path(self, text: str) -> list[str]:
-        """Pieces of a unit with one leading mark at most; unknown characters stand for themselves."""
-        last = [-1]  # at each position the state of its path of finite weight: the last piece, -1 for none
-        sizes = [0]
-        pairs, trie = self.pairs, self.trie
-        for end in range(1, len(text) + 1):
-            node, found = trie, []
-            for start in range(end - 1, -1, -1):
-                node = node.get(text[start])
-                if node is None:
-                    break
-                if "" in node:
-                    found.append((start, node[""]))
-            for start, piece in reversed(found):
-                before = last[start]
-                if before < 0 or start == 0:
-                    break
-                known = pairs.get(before << 32 | piece)
-                if known or known is None and self.neighbours(before, piece):
-                    break
-            else:  # no piece ends here: an unknown character
-                start, piece = end - 1, -1
-            last.append(piece)
-            sizes.append(end - start)
+    def shortest_path(self, text: str) -> tuple[int, ...]:
+        """Ids along the shortest path through the lattice of a normalised unit with one leading mark at most."""
+        n = len(text)
+        weight, last, before = [0] + [NEVER] * n, [-1] * (n + 1), list(range(-1, n))
+        pairs, link, reached = self.pairs, self.link, 0
+        for end, (size, p) in itertools.chain(self.pieces.arcs(text), [(n, (0, -1))]):
+            while reached < end:  # all arcs to these positions are known; where none had a finite weight, the fallback arc has
+                reached += 1
+                if last[reached] < 0:
+                    weight[reached] = weight[reached - 1] + FALLBACK * len(text[reached - 1].encode())
+            at, end = end + 1 - size, end + 1
+            if p < 0 or last[end] >= 0:  # of arcs between neighbours that fit there is one at most
+                continue
+            a = last[at]
+            fits = pairs.get(a << 32 | p) if a >= 0 else 0
+            w = weight[at] + PIECE + (link(a, p) if fits is None else fits)
+            if w < weight[end]:
+                weight[end], last[end], before[end] = w, p, at
         at, path = len(text), []
         while at:
-            path.append(text[at - sizes[at] : at])
-            at -= sizes[at]
-        return path[::-1]
+            path.append(self.word_ids[last[at]] if last[at] >= 0 else [self.byte_ids[b] for b in text[before[at] : at].encode()])
+            at = before[at]
+        return tuple(i for ids in reversed(path) for i in ids)
 
     def run(self, n: int) -> list[int]:
         """Ids of n marks that nothing else took: merged from the left, as far as pieces go."""
@@ -170,31 +204,30 @@ class PieceTransducer:
         return [self.ids[MARK * x] for x in out + parts]
 
     def unit(self, unit: str) -> tuple[int, ...]:
+        """Ids of a normalised unit: marks, then characters that pieces join."""
         word = unit.lstrip(MARK)
         marks = len(unit) - len(word)
-        path = self.shortest_path(MARK * (marks > 0) + word) if word else []
-        if path and path[0] == MARK:  # the mark stayed alone
-            path = path[1:]
-        elif path and marks:
-            marks -= 1
-        out = self.run(marks)
-        for piece in path:
-            out += [self.ids[piece]] if piece in self.ids else [self.byte_ids[b] for b in piece.encode()]
-        return tuple(out)
+        if not word:
+            return tuple(self.run(marks))
+        ids = self.shortest_path(MARK * (marks > 0) + word)
+        if marks > 1:
+            alone = ids[0] == self.ids[MARK]  # the mark before the word stays with the others
+            ids = (*self.run(marks - 1 + alone), *ids[alone:])
+        return ids
 
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
         if len(self.units) >= UNITS:
-            self.units = {"": ()}
+            self.units, self.units_before = {"": ()}, self.units
         known, beside, out, unit = self.units, self.beside, [], ""
-        for part in _PART.findall(MARK + text.replace(" ", MARK)):
+        for part in _PART.findall(self.normaliser.compose(text)):
             if part[0] != MARK and unit[-1:] + part[0] in beside:
                 unit += part
                 continue
             ids = known.get(unit)
             if ids is None:
-                ids = known[unit] = self.unit(unit)
+                ids = known[unit] = self.units_before.get(unit) or self.unit(unit)
             out += ids
             unit = part
         return out + list(self.unit(unit))
