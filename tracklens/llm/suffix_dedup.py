@@ -10,8 +10,10 @@ place. So only suffixes that start at anchors (one in about 32 bytes) are gather
 
 1. Every task lists its texts' anchors: gram hash, hash of all that its strings cover (the context), the
    range of strings it stands for. Equal contexts within a batch leave one row; the others are repeated.
-2. Owners of gram hashes compare contexts: of equal ones the earliest stays. Where a gram has several
-   contexts, each asks for its bytes. Grams seen once are dropped here, which is nearly all of the text.
+2. Owners of gram hashes compare contexts: of equal ones the earliest stays (told by 64 bits of the gram's
+   hash and 128 of the context's, not by bytes: those would be fetched for every copy of every text). Where a
+   gram has several contexts, each asks for its bytes. Grams seen once are dropped here, which is nearly all
+   of the text.
 3. Texts and requests meet by document; the contexts' bytes go to the owners of the grams.
 4. There the suffixes are put in order by deep-shallow sorting: multikey quicksort, a word at a time and only
    within ties, to a shallow depth; then blind tries order the groups with longer common prefixes. With
@@ -20,7 +22,8 @@ place. So only suffixes that start at anchors (one in about 32 bytes) are gather
 5. Texts and repeated ranges meet by document.
 
 Rows travel as packed arrays, a few for each task and owner; texts as compressed Arrow batches. A gram with
-very many contexts (HOT) is split by the bytes beside it, so no common phrase gathers in one task. An
+very many contexts (HOT) is split by the bytes that its strings of neighbouring offsets (CLASS) have in common,
+82 at least, so a common phrase shorter than that doesn't gather in one task. An
 owner that gathers too many rows (HELD) deals them to files by gram and settles one file after the other, so
 whether a gram has several contexts, or is hot, is always told from all of its contexts.
 
@@ -44,6 +47,8 @@ SPAN = WIDTH - GRAM + 1
 LEFT = WIDTH - GRAM
 #: Contexts of a gram from which it is split by neighbouring bytes; rows an owner holds before it deals them to FILES.
 HOT, HELD, FILES = 1000, 4_000_000, 64
+#: Offsets whose strings of a hot gram go to one owner.
+CLASS = 18
 #: Contexts that a task gathers before it deals them out.
 GATHERED = 50_000
 #: Bytes hashed at once.
@@ -57,7 +62,7 @@ INDEX, REQUEST, RANGE, TEXTS = 0, 1, 2, 3
 def _types():
     import numpy as np
 
-    anchor = np.dtype([("h", "<u8"), ("c", "<u8"), ("k", "<i8"), ("a", "<u4"), ("hi", "u1"), ("lo", "u1")])
+    anchor = np.dtype([("h", "<u8"), ("c", "<u8"), ("c2", "<u8"), ("k", "<i8"), ("a", "<u4"), ("hi", "u1"), ("lo", "u1")])
     request = np.dtype([("k", "<i8"), ("h", "<u8"), ("a", "<u4"), ("hi", "u1"), ("lo", "u1"), ("hot", "u1")])
     context = np.dtype([("h", "<u8"), ("k", "<i8"), ("a", "<u4"), ("hi", "u1"), ("lo", "u1"), ("left", "u1", LEFT), ("right", "u1", WIDTH)])
     span = np.dtype([("k", "<i8"), ("from", "<u4"), ("to", "<u4")])
@@ -108,15 +113,16 @@ def anchors(buf, ends, keys, offsets):
         at = (least[p] & np.uint64(0xFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.diff(at, prepend=-1))
         low, high, at = p[first], p[np.append(first[1:], len(p)) - 1] if len(p) else p[first], at[first]
-        # hash of buf[low : high + WIDTH] from sums of prefixes
-        odd = np.array(0xD6E8FEB86659FD93, np.uint64)
-        powers = np.cumprod(np.full(n, odd, np.uint64))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_byte_values(2)[buf] * powers)])
-        inverse = np.cumprod(np.full(n, pow(int(odd), -1, 1 << 64), np.uint64))
-        context = _mix((sums[high + WIDTH] - sums[low]) * inverse[low])
+        # two hashes of buf[low : high + WIDTH] from sums of prefixes
+        contexts = []
+        for seed, odd in ((2, 0xD6E8FEB86659FD93), (6, 0xA24BAED4963EE407)):
+            powers = np.cumprod(np.full(n, odd, np.uint64))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_byte_values(seed)[buf] * powers)])
+            inverse = np.cumprod(np.full(n, pow(odd, -1, 1 << 64), np.uint64))
+            contexts.append(_mix((sums[high + WIDTH] - sums[low]) * inverse[low]))
     text = np.searchsorted(ends, at, side="right")
     out = np.empty(len(at), kind)
-    out["h"], out["c"], out["k"], out["a"] = h[at], context, keys[text], at - starts[text] + offsets[text]
+    out["h"], (out["c"], out["c2"]), out["k"], out["a"] = h[at], contexts, keys[text], at - starts[text] + offsets[text]
     out["hi"], out["lo"] = at - low, at - high
     return out
 
@@ -144,14 +150,18 @@ def _pieces(texts, keys):
 
 
 def resolve(rows):
-    """Of anchors with equal contexts the earliest stays. Gives (those that stay, ranges of the others)."""
+    """Of anchors with equal contexts the earliest stays. Gives (those that stay, ranges of the others).
+
+    Equal means: equal in the 64-bit hash of the gram and in two of 64 bits of the whole context.
+    """
     import numpy as np
 
     if not len(rows):
         return rows, np.zeros(0, _types()[3])
     rows = rows[np.lexsort((rows["a"], rows["k"], rows["lo"], rows["hi"], rows["c"], rows["h"]))]
     first = np.ones(len(rows), bool)
-    first[1:] = (rows["h"][1:] != rows["h"][:-1]) | (rows["c"][1:] != rows["c"][:-1]) | (rows["hi"][1:] != rows["hi"][:-1]) | (rows["lo"][1:] != rows["lo"][:-1])
+    # not sorted by c2: if c alone were equal, both contexts would stay and be told apart by their bytes
+    first[1:] = (rows["h"][1:] != rows["h"][:-1]) | (rows["c"][1:] != rows["c"][:-1]) | (rows["c2"][1:] != rows["c2"][:-1]) | (rows["hi"][1:] != rows["hi"][:-1]) | (rows["lo"][1:] != rows["lo"][:-1])
     return rows[first], spans_of(rows[~first])
 
 
@@ -393,7 +403,7 @@ def _fetch_contexts(owners: int):
 
 
 def _contexts(raw, rows, kind):
-    """The bytes about each anchor, zeros outside its context; anchors of hot grams twice, by either side's bytes."""
+    """The bytes about each anchor, zeros outside its context; anchors of hot grams for each class of offsets apart."""
     import numpy as np
 
     out = np.zeros(len(rows), kind)
@@ -407,15 +417,18 @@ def _contexts(raw, rows, kind):
     hot = rows["hot"] > 0
     if not hot.any():
         return out
-    half = LEFT // 2  # a string has half of its other bytes at least on one side of the gram
-    by_left, by_right = out[hot & (rows["hi"] >= half)], out[hot & (rows["lo"] < half)]
-    by_left["lo"] = np.maximum(by_left["lo"], half)
-    by_right["hi"] = np.minimum(by_right["hi"], half - 1)
-    for part, beside, salt in ((by_left, by_left["left"][:, -half:], 3), (by_right, by_right["right"][:, GRAM : GRAM + half], 4)):
+    every, parts = out[hot], [out[~hot]]
+    for first in range(0, SPAN, CLASS):
+        last = min(first + CLASS, SPAN) - 1
+        part = every[(every["lo"] <= last) & (every["hi"] >= first)]
+        part["lo"], part["hi"] = np.maximum(part["lo"], first), np.minimum(part["hi"], last)
+        # what all strings that start first to last bytes before the gram have in common
+        shared = np.concatenate([part["left"][:, LEFT - first :], part["right"][:, : WIDTH - last]], axis=1)
         with np.errstate(over="ignore"):
-            sums = (_byte_values(salt)[beside] * np.cumprod(np.full(half, 0x9E3779B97F4A7C15, np.uint64))).sum(1, dtype=np.uint64)
-            part["h"] = _mix(part["h"] * np.uint64(2 * salt + 1) + _mix(sums))
-    return np.concatenate([out[~hot], by_left, by_right])
+            sums = (_byte_values(3)[shared] * np.cumprod(np.full(shared.shape[1], 0x9E3779B97F4A7C15, np.uint64))).sum(1, dtype=np.uint64)
+            part["h"] = _mix(part["h"] * np.uint64(2 * first + 7) + _mix(sums))
+        parts.append(part)
+    return np.concatenate(parts)
 
 
 class BlindTrie:
