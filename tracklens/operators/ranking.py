@@ -53,10 +53,19 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: int, name: str = "rank
 
 
 def next_anchor(anchors: DataFrame, judgments: DataFrame, evaluators: DataFrame) -> DataFrame:
-    """For each evaluator the anchor with the fewest of their judgments; then the oldest."""
-    done = judgments.groupBy("evaluator_id", "anchor_track_id").agg(F.count("*").alias("judged"))
-    pairs = evaluators.crossJoin(F.broadcast(anchors)).join(done, ["evaluator_id", "anchor_track_id"], "left").fillna({"judged": 0})
-    return top_k(pairs, ["evaluator_id"], ["judged", "created_at", "anchor_track_id"], 1, "_n").drop("_n")
+    """For each evaluator the anchor with the fewest of their judgments; then the oldest.
+
+    Anchors, those of an evaluation, are numbered by age. The first number that an evaluator lacks is an anchor
+    without judgments; only who lacks none needs counts. So evaluators and anchors aren't multiplied.
+    """
+    numbered = anchors.withColumn("_i", F.row_number().over(Window.orderBy("created_at", "anchor_track_id")) - 1)
+    done = judgments.groupBy("evaluator_id", "anchor_track_id").agg(F.count("*").alias("judged")).join(numbered.select("anchor_track_id", "_i"), "anchor_track_id")
+    own = done.groupBy("evaluator_id").agg(F.array_sort(F.collect_list("_i")).alias("_all"), F.min(F.struct("judged", "_i")).alias("_least"))
+    first_gap = F.coalesce(F.size(F.filter("_all", lambda x, i: x == i)), F.lit(0))
+    asked = evaluators.join(own, "evaluator_id", "left").crossJoin(anchors.agg(F.count("*").alias("_n")))
+    fresh = first_gap < C("_n")
+    chosen = asked.select(*evaluators.columns, F.when(fresh, first_gap).otherwise(C("_least._i")).alias("_i"), F.when(fresh, F.lit(0)).otherwise(C("_least.judged")).cast("long").alias("judged"))
+    return chosen.join(numbered, "_i").drop("_i")
 
 
 def top_labels(scores: DataFrame, k: int = 6) -> DataFrame:

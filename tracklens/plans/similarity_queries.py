@@ -104,9 +104,10 @@ def k11(spark, sf):
 
 @query("k12_genre_projection")
 def k12(spark, sf):
+    """A run has most tracks; vectors have some of the others."""
     t = view(spark, sf, "tracks")
-    flat = projection.pca_map(t.select("track_id", "embedding"))
-    return projection.lay_out(flat.join(t.select("track_id", "library_id", "genre"), "track_id"))
+    members = t.where("cluster < 8").select(F.lit("r1").alias("run_id"), "track_id", "x", "y").union(t.where("cluster < 2").select(F.lit("r2"), "track_id", "y", "x"))
+    return projection.island_projection(t.select("track_id", "library_id", "genre"), members, t.where("cluster < 9").select("track_id", "embedding"))
 
 
 @query("k13_neighbourhoods", """
