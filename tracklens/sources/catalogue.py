@@ -19,7 +19,7 @@ def resolve_lookups(rows: DataFrame, **lookups: DataFrame) -> DataFrame:
     """
     for name, names in lookups.items():
         rows = rows.join(names.select(C("id").alias(f"{name}_id"), C("name").alias(name)), f"{name}_id", "left")
-    return rows.withColumn("path", S.device_path(C("location"))).withColumn("tempo", C("tempo") / 100)
+    return rows.withColumn("path", S.device_path()(C("location"))).withColumn("tempo", C("tempo") / 100)
 
 
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
