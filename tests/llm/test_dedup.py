@@ -108,6 +108,52 @@ def test_covering_masks_meet_every_pair_within_the_radius():
         assert any(not flip & m for m in masks)
 
 
+def test_second_tables_meet_every_pair_within_the_radius():
+    import random
+
+    first, every = simhash_dedup.masks(3), simhash_dedup.every_mask(3)
+    assert len(every) == 15 + 15 * 15 and all(64 - m.bit_count() <= 16 for m in every[15:])
+    rng = random.Random(1)
+    for v, mask in enumerate(first):
+        subs = every[15 + 15 * v : 30 + 15 * v]
+        free = [i for i in range(64) if not mask >> i & 1]
+        assert all(m & mask == mask for m in subs)
+        for _ in range(300):
+            flip = sum(1 << b for b in rng.sample(free, 3))
+            assert any(not flip & m for m in subs)
+
+
+@pytest.mark.parametrize("limit", [3, 1 << 16])
+def test_buckets_dealt_again_lose_no_link(spark, limit):
+    import random
+
+    rng = random.Random(6)
+    fps = {rng.getrandbits(64) for _ in range(20)}
+    for base in list(fps)[:5]:
+        for _ in range(30):
+            near = base
+            for b in rng.sample(range(64), rng.randint(1, 5)):
+                near ^= 1 << b
+            fps.add(near)
+    fps = sorted(fps)
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(fps)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 3:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame([(k, k, simhash_dedup._signed(f)) for k, f in enumerate(fps)], "k long, doc_id long, fp long")
+    got = {r.fp: r.root for r in simhash_dedup.near_components(df, 3, limit).collect()}
+    want = {simhash_dedup._signed(f): find(k) for k, f in enumerate(fps) if sum(find(j) == find(k) for j in range(len(fps))) > 1}
+    assert got == want
+
+
 def test_large_buckets_are_searched_by_neighbours():
     import numpy as np
 

@@ -12,7 +12,9 @@ radius agree on all that table v keeps: every such pair meets in one of the 2**(
 A bucket of a table yields no pairs, only a spanning forest of the links between its fingerprints (equal
 fingerprints were one row before). A large bucket is not compared all against all: each of its
 fingerprints looks up its neighbours within the radius on the bits the table leaves out, so the work of a
-bucket is bounded by its size times a constant. Components are built from those forests.
+bucket is bounded by its size times a constant. Fingerprints of a bucket over LIMIT are dealt again, by a covering
+of the 32 bits that its table leaves out: every pair within the radius meets again, and as half of those bits are
+kept, no bucket holds more than 2**16 different fingerprints. Components are built from those forests.
 
 ``dedup`` removes near copies: texts whose distinct shingles of ``WIDTH`` (5) words have a Jaccard similarity of
 ``SIMILARITY`` (0.8) or more. Candidates come from the same covering tables, over fingerprints of a text's
@@ -41,6 +43,8 @@ BITS = 64
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 6
 #: Rows of a bucket that meet as many others in one task; larger buckets meet block by block.
 BLOCK = 4096
+#: Different fingerprints that a bucket of the first tables holds before it is dealt again.
+LIMIT = 1 << 16
 #: Times as many rows of a bucket that a row meets in each further round.
 GROWTH = 16
 
@@ -52,6 +56,13 @@ def masks(radius: int) -> list[int]:
     return [sum(1 << i for i in range(BITS) if (vector[i] & v).bit_count() % 2) for v in range(1, n)]
 
 
+def sub_masks(mask: int, radius: int) -> list[int]:
+    """Covering masks that keep the bits of a mask and, of the others, what the covering of those alone keeps."""
+    n = 1 << (radius + 1)
+    free = [i for i in range(BITS) if not mask >> i & 1]
+    return [mask | sum(1 << b for j, b in enumerate(free) if ((j % (n - 1) + 1) & v).bit_count() % 2) for v in range(1, n)]
+
+
 def shingle_hashes(text: str | None, width: int):
     """XXH64 (seed 42) of each shingle of a text, as uint64."""
     import numpy as np
@@ -141,9 +152,15 @@ def bucket_links(fps, free_mask: int, radius: int, block: int = 1024):
         yield order[hit], order[at[hit]]
 
 
+def every_mask(radius: int) -> list[int]:
+    """The masks of the first tables, then those of the second tables of each."""
+    first = masks(radius)
+    return first + [m for mask in first for m in sub_masks(mask, radius)]
+
+
 def _forest(radius: int):
     """Rows (table, key, fp, k) in the order of (table, key): gives the bucket's spanning links (a, b) over k."""
-    tables = masks(radius)
+    tables = every_mask(radius)
 
     def links(v, fps, ks):
         import numpy as np
@@ -188,11 +205,20 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> BITS - 1 else x
 
 
-def near_components(fps: DataFrame, radius: int = 3) -> DataFrame:
+def near_components(fps: DataFrame, radius: int = 3, limit: int = LIMIT) -> DataFrame:
     """(fp, root): for fingerprints linked to another, the smallest k of their component. ``fps``: staged (k, doc_id, fp)."""
     one = stage(fps.groupBy("fp").agg(F.min("k").alias("k")), "fingerprints")
-    tables = F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for v, m in enumerate(masks(radius))])
-    dealt = one.select("fp", "k", F.inline(tables)).repartition(partitions(fps.sparkSession), "v", "key").sortWithinPartitions("v", "key")
+    n = len(masks(radius))
+    bits = F.lit([_signed(m) for m in every_mask(radius)])
+    kept = lambda v: F.col("fp").bitwiseAND(F.element_at(bits, v + 1)).alias("key")
+    each = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = one.select("fp", "k", each.alias("v")).select("v", kept(F.col("v")), "fp", "k")
+    if one.count() > limit:
+        large = stage(rows.groupBy("v", "key").count().where(F.col("count") > limit).select("v", "key"), "large")
+        if not large.isEmpty():
+            again = rows.join(large, ["v", "key"], "left_semi").select("fp", "k", "v", each.alias("w")).select((n + F.col("v") * n + F.col("w")).alias("v"), "fp", "k")
+            rows = rows.join(large, ["v", "key"], "left_anti").union(again.select("v", kept(F.col("v")), "fp", "k"))
+    dealt = rows.repartition(partitions(fps.sparkSession), "v", "key").sortWithinPartitions("v", "key")
     edges = dealt.select("v", "key", "fp", "k").mapInArrow(_forest(radius), "a long, b long")
     return components(edges).join(one, F.col("node") == F.col("k")).select("fp", "root")
 
