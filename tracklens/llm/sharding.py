@@ -110,9 +110,9 @@ def assign(docs: DataFrame, shards: int = SHARDS, least_gain: float = 0.0) -> Da
     taken = {r["shard"]: r["count"] for r in linked.groupBy("shard").count().collect()}
     single = stage(base.select("k").join(linked.select("k"), "k", "left_anti").join(given, "k", "left").withColumn("one", F.col("g1").isNull().cast("int")), "single")
     spread = F.when(F.col("class") < WIDE, F.col("g1")).otherwise(F.xxhash64("k"))
-    numbered = number_within(single, ["one"], ["g1", "k"], "number", buckets, spread)
     n_given = given.count()
-    numbered = numbered.withColumn("number", F.col("number") + F.col("one") * n_given)
+    parts = [number_within(single.where(F.col("one") == one), [], ["g1", "k"], "number", buckets, spread).withColumn("number", F.col("number") + one * n_given) for one in (0, 1)]
+    numbered = parts[0].union(parts[1])
     shard, until = F.lit(None).cast("int"), sum(q - taken.get(j, 0) for j, q in enumerate(quotas))
     for j in reversed(range(shards)):
         shard = F.when(F.col("number") < until, j).otherwise(shard)
