@@ -302,6 +302,21 @@ def _meet(radius: int, most: int):
             a, b = k[own[i]], k[y[j]]
             yield np.maximum(a, b), np.minimum(a, b)
 
+    def small(starts, ends, side, k, fp, label):
+        """The same for all groups at once whose side 1 has ``most`` rows at most."""
+        import numpy as np
+
+        firsts = np.add.reduceat((side == 0).astype(np.int64), starts)  # rows of side 0 come first
+        middle, seconds = starts + firsts, ends - starts - firsts
+        group = np.repeat(np.arange(len(starts)), firsts)
+        x = np.arange(firsts.sum()) - np.repeat(np.cumsum(firsts) - firsts, firsts) + starts[group]
+        times = seconds[group]
+        one = np.repeat(x, times)
+        other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(middle[group], times)
+        near = (np.bitwise_count(fp[one] ^ fp[other]) <= radius) & (k[one] != k[other]) & (label[one] != label[other])
+        a, b = k[one[near]], k[other[near]]
+        return np.maximum(a, b), np.minimum(a, b)
+
     def of(batches):
         import numpy as np
         import pyarrow as pa
@@ -314,12 +329,23 @@ def _meet(radius: int, most: int):
             if rows is None or not len(rows[0]):
                 continue
             change = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0) | (np.diff(rows[2]) != 0)) + 1
-            starts = [0, *change.tolist(), len(rows[0])]
-            done = starts if new is None else starts[:-1]  # the last group may go on in the next batch
-            for s, e in zip(done, done[1:]):
-                for a, b in pairs(rows[3][s:e], rows[4][s:e], rows[5][s:e].view(np.uint64), rows[6][s:e]):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-            left = [r[done[-1] :] for r in rows]
+            edges = np.concatenate([[0], change, [len(rows[0])]])
+            edges = edges if new is None else edges[:-1]  # the last group may go on in the next batch
+            if len(edges) > 1:
+                starts, ends = edges[:-1], edges[1:]
+                side, k, fp, label = rows[3][: edges[-1]], rows[4], rows[5].view(np.uint64), rows[6]
+                few = np.add.reduceat((side == 1).astype(np.int64), starts) <= most
+                found = []
+                for n in np.flatnonzero(~few).tolist():
+                    s, e = starts[n], ends[n]
+                    found += pairs(side[s:e], k[s:e], fp[s:e], label[s:e])
+                if few.any():  # their rows, side by side
+                    size = (ends - starts)[few]
+                    own = np.repeat(few, ends - starts)
+                    stop = np.cumsum(size)
+                    found.append(small(stop - size, stop, side[own], *(c[: edges[-1]][own] for c in (k, fp, label))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[n] for f in found] or [np.zeros(0, np.int64)])) for n in (0, 1)], ["a", "b"])
+            left = [r[edges[-1] :] for r in rows]
 
     return of
 
