@@ -116,7 +116,10 @@ def learn(docs: DataFrame, max_docs: int = 3_000, seed: int = 11) -> Model:
     """From about ``max_docs`` labelled documents of each language; languages are few."""
     able = docs.where(~held_out()).where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "doc_id")
     shares = able.groupBy("lang").agg(F.least(F.lit(1.0), max_docs / F.count("*")).alias("share"))
-    sample = able.join(shares, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    # narrow rows are joined to the shares, and the few chosen ones, once written, to the texts
+    dealt = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20))
+    chosen = stage(able.select("doc_id", "lang").join(stage(shares, "shares"), "lang").where(dealt < F.col("share") * (1 << 20)).select("doc_id", "lang").distinct(), "sample")
+    sample = able.join(chosen, ["doc_id", "lang"], "left_semi")
     counted = stage(sample.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     grams = counted.mapInArrow(_count_grams, "lang string, order int, gram string, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
     return Model(sorted(map(tuple, counted.toLocalIterator())), sorted(map(tuple, grams.select("lang", "order", "gram", "n").toLocalIterator())))  # of the sample
