@@ -140,7 +140,8 @@ def test_shards_of_nothing(empty):
     assert sharding.assign(empty).count() == 0
 
 
-def test_components_match_union_find(spark):
+@pytest.mark.parametrize("few", [0, 250_000])
+def test_components_match_union_find(spark, few):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1200)]
     root = {}
@@ -153,7 +154,7 @@ def test_components_match_union_find(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").repartition(8)).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").repartition(8), few=few).collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
 
 

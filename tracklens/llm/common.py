@@ -107,7 +107,7 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], name: str, b
     return joined.withColumn(name, (F.col("_start") + F.col("_i")).cast("long")).drop("_b", "_i", "_start")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 40, few: int = 250_000) -> DataFrame:
     """(node, root): the smallest node of each connected component, for nodes of (a, b) edges.
 
     Large-star and small-star rounds over staged tables: every round hangs a node's larger neighbours,
@@ -117,7 +117,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     sides and AQE can split a node with very many neighbours.
     """
     now = stage(_local_forest(edges.where("a <> b").select("a", "b")), "edges")
-    for _ in range(rounds):
+    settled = now.count() <= few  # what is left of so few edges is joined in one task, to the same end
+    if settled:
+        now = stage(_local_forest(now.coalesce(1)), "edges")
+    for _ in range(0 if settled else rounds):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: neighbours above a node hang on the smallest of node and neighbours
         least = stage(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("m")), "least")
@@ -133,7 +136,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if ends.isEmpty() and deep.isEmpty():
             break
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if not settled:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
