@@ -273,3 +273,20 @@ def test_solo_cluster(spark):
     a = spark.createDataFrame([("t", 0, "deep", "Peak time")], "track_id string, cluster int, cluster_name string, moment string")
     assert aggregates.cluster_summary(a, "r").first().name == "solo"
     assert aggregates.cluster_summary(a.where("false"), "r").count() == 0
+
+
+def test_rounding_goes_by_the_exact_value(spark):
+    """0.50345 lies below the half, 0.50355 above; 0.03125 and 0.09375 are halves, which go to the even digit."""
+    from pyspark.sql import functions as F
+
+    from tracklens.functions.scalars import exact_round
+
+    rng = np.random.default_rng(6)
+    values = [0.50345, 0.50355, 0.03125, 0.09375, 0.28125, 2.5, 1e-300, 5e-5, 4.9999e-5, 0.0, -0.50345, -0.03125, 12345.67895, 1.00005, 0.99995, 0.99999999, None]
+    values += (rng.integers(0, 10**5, 400) / 1e5).tolist() + (rng.integers(0, 2**12, 200) / 2**12).tolist() + rng.normal(0, 100, 200).tolist()
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", *[exact_round(F.col("v"), p).alias(f"p{p}") for p in (2, 4, 5)]).collect()
+    for r in rows:
+        for p in (2, 4, 5):
+            assert r[f"p{p}"] == (None if r.v is None else round(r.v, p)), (r.v, p)
+    odd = spark.createDataFrame([(float("inf"),), (1e300,)], "v double").select(exact_round(F.col("v"), 4).alias("r")).collect()
+    assert [r.r for r in odd] == [float("inf"), 1e300]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklens.functions import scalars as S
+
 C = F.col
 
 
@@ -73,7 +75,7 @@ def top_labels(scores: DataFrame, k: int = 6) -> DataFrame:
     pairs = F.transform(F.arrays_zip("labels", "scores"), lambda t: F.struct((-t["scores"]).alias("s"), t["labels"].alias("label")))
     best = F.slice(F.array_sort(pairs), 1, k)
     out = scores.withColumn("_b", best)
-    return out.select("track_id", F.map_from_entries(F.transform("_b", lambda t: F.struct(t["label"], F.round(-t["s"], 4)))).alias("top"), F.concat_ws(", ", F.transform(F.slice("_b", 1, 3), lambda t: t["label"])).alias("text"), C("_b")[0]["label"].alias("label"), F.round(-C("_b")[0]["s"], 4).alias("confidence"))
+    return out.select("track_id", F.map_from_entries(F.transform("_b", lambda t: F.struct(t["label"], S.exact_round(-t["s"], 4)))).alias("top"), F.concat_ws(", ", F.transform(F.slice("_b", 1, 3), lambda t: t["label"])).alias("text"), C("_b")[0]["label"].alias("label"), S.exact_round(-C("_b")[0]["s"], 4).alias("confidence"))
 
 
 def metric_winners(metrics: DataFrame) -> DataFrame:

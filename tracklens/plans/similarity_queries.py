@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracklens.functions import scalars as S
-from tracklens.operators import evaluation, evidence, filters, projection, recommend, similarity
+from tracklens.operators import evaluation, evidence, filters, layout, projection, recommend, similarity
+from tracklens.operators.vector_index import VectorIndex
 from tracklens.plans.adapters import view
 from tracklens.plans.base import query
 from tracklens.plans.aggregate_queries import METRICS, metrics
@@ -59,6 +60,13 @@ def k4(spark, sf):
     return similarity.approximate_pairs(vectors(spark, sf), 10)
 
 
+@query("k4_indexed_knn")
+def k4_index(spark, sf):
+    """An index built on all tracks and asked for each of them."""
+    v = vectors(spark, sf).select("track_id", "embedding")
+    return VectorIndex.build(v, shared_path(spark, "index")).search(v, 10)
+
+
 @query("k5_reduced_vectors")
 def k5(spark, sf):
     return projection.reduce_vectors(vectors(spark, sf).select("track_id", "embedding"), 16)
@@ -69,6 +77,11 @@ def k6(spark, sf):
     return projection.standard_map(vectors(spark, sf).select("track_id", "embedding"))
 
 
+@query("k6_neighbour_map")
+def k6_neighbours(spark, sf):
+    return layout.neighbour_map(vectors(spark, sf))
+
+
 @query("k7_pca_map")
 def k7(spark, sf):
     return projection.pca_map(vectors(spark, sf).select("track_id", "embedding"))
@@ -77,7 +90,13 @@ def k7(spark, sf):
 @query("k8_clusters")
 def k8(spark, sf):
     v = vectors(spark, sf).select("track_id", "embedding")
-    return projection.cluster_labels(v, v.count())
+    return projection.cluster_labels(projection.cluster_space(v), v.count())
+
+
+@query("k8_merged_clusters")
+def k8_merged(spark, sf):
+    v = vectors(spark, sf).select("track_id", "embedding")
+    return projection.merged_labels(projection.cluster_space(v), v.count())
 
 
 @query("k9_assignments")
@@ -140,7 +159,7 @@ def k15(spark, sf):
 
 @query("k16_head_scores", """
 WITH s AS (SELECT l_partkey AS track_id, l_returnflag AS head, CAST(l_quantity AS INT) % 9 AS label, avg(l_extendedprice::DOUBLE / 100000) AS score FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY track_id, head ORDER BY score DESC, label) AS n FROM s)
-SELECT track_id, count(*) FILTER (head IN ('A', 'N') AND n <= 6) AS top, round(sum(round(score, 4)) FILTER (head IN ('A', 'N') AND n <= 6), 4) AS top_sum, max(label::VARCHAR) FILTER (head = 'N' AND n = 1) AS best, max(round(score, 4)) FILTER (head = 'R' AND label = 4) AS picked FROM r GROUP BY track_id""")
+SELECT track_id, count(*) FILTER (head IN ('A', 'N') AND n <= 6) AS top, round(sum(format('{:.4f}', score)::DOUBLE) FILTER (head IN ('A', 'N') AND n <= 6), 4) AS top_sum, max(label::VARCHAR) FILTER (head = 'N' AND n = 1) AS best, max(format('{:.4f}', score)::DOUBLE) FILTER (head = 'R' AND label = 4) AS picked FROM r GROUP BY track_id""")
 def k16(spark, sf):
     f = view(spark, sf, "lineitem").select(C("l_partkey").alias("track_id"), C("l_returnflag").alias("head"), (C("l_quantity").cast("int") % 9).cast("string").alias("label"), (C("l_extendedprice").cast("double") / 100000).alias("value"))
     out = similarity.head_features(similarity.head_scores(f), ["A", "N"], {"R": "4"})

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
@@ -17,3 +18,10 @@ def shared_path(spark: SparkSession, tag: str) -> str:
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/files/{tag}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read back, for tables that are needed more than once."""
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])).parquet(path)
