@@ -69,7 +69,10 @@ def test_blocks_chunks_slices_and_lists_change_nothing(spark, texts, monkeypatch
 
 
 def test_a_text_is_one_row_with_its_copies(spark, texts):
-    rows = D.collapsed(frame(spark, texts)).collect()
+    docs = frame(spark, texts)
+    sources, seed = D.numbered_sources(docs)
+    assert {r.source for r in sources.collect()} == {r[2] or "" for r in texts} and sources.select("sid").distinct().count() == sources.count()
+    rows = D.collapsed(docs, seed, sources.count()).collect()
     assert len(rows) == len({(r[1] or "", r[0] or "") for r in texts})
     assert sum(c["n"] for r in rows for c in r.copies) == len(texts)
     hot = [r for r in rows if (r.lang, r.text) == (texts[0][1] or "", texts[0][0])]
@@ -89,13 +92,13 @@ def test_tasks_send_their_sums_when_full(monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(D, "HELD", 2)
-    batch = pa.RecordBatch.from_pylist([{"lang": "en", "text": b"a b a", "copies": [{"source": "s", "n": 2}, {"source": "t", "n": 1}]}, {"lang": "en", "text": b"b c", "copies": [{"source": "s", "n": 1}]}])
+    batch = pa.RecordBatch.from_pylist([{"lang": "en", "text": b"a b a", "copies": [{"sid": 5, "n": 2}, {"sid": 6, "n": 1}]}, {"lang": "en", "text": b"b c", "copies": [{"sid": 5, "n": 1}]}])
     sums: Counter = Counter()
     for out in D._count([batch]):
         for r in out.to_pylist():
-            sums[r["source"], r["term"], "count"] += r["count"]
-            sums[r["source"], r["term"], "docs"] += r["docs"]
-    assert {k: v for k, v in sums.items() if v} == {("s", "a", "count"): 4, ("s", "a", "docs"): 2, ("s", "b", "count"): 3, ("s", "b", "docs"): 3, ("t", "a", "count"): 2, ("t", "a", "docs"): 1, ("t", "b", "count"): 1, ("t", "b", "docs"): 1, ("s", "c", "count"): 1, ("s", "c", "docs"): 1}
+            sums[r["sid"], r["term"], "count"] += r["count"]
+            sums[r["sid"], r["term"], "docs"] += r["docs"]
+    assert {k: v for k, v in sums.items() if v} == {(5, "a", "count"): 4, (5, "a", "docs"): 2, (5, "b", "count"): 3, (5, "b", "docs"): 3, (6, "a", "count"): 2, (6, "a", "docs"): 1, (6, "b", "count"): 1, (6, "b", "docs"): 1, (5, "c", "count"): 1, (5, "c", "docs"): 1}
 
 
 def test_sql_and_empty_table(spark, empty):

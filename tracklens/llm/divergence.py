@@ -5,7 +5,7 @@ that at least ``MIN_DOCS`` of its documents have. A group is a (lang, source) th
 p = 1 + floor(10**9 (count + 5) / (N + 5 V)), and so does each language over all its documents.
 
 1. Equal texts of a language become one row with the number of copies in each source: counts of (lang, text,
-   source) combine before the shuffle, then a text's sources are listed, SOURCES in a list at most on average.
+   source) combine before the shuffle; a text's sources are listed, SOURCES in a list at most on average.
 2. Each such text is split into terms once. Tasks add up, for each source, the copies times the occurrences and the
    copies times one (document frequency), and Spark adds the tasks' sums.
 3. Pairs of sources are evaluated on entries with a count only. Terms are dealt into chunks of TERMS, sources into
@@ -37,14 +37,35 @@ SLICE = 1 << 20
 C = F.col
 
 
-def collapsed(docs: DataFrame) -> DataFrame:
-    """(lang, text, copies): each text of a language once, with [(source, n)]."""
-    text_of = lambda name: F.coalesce(C(name).cast("string"), F.lit("")).alias(name)
-    d = docs.select(text_of("lang"), text_of("source"), text_of("text"))
-    parts = -(-d.select("source").distinct().count() // SOURCES)
-    counted = d.groupBy("lang", "text", "source").agg(F.count("*").alias("n"))
-    part = F.pmod(F.xxhash64("source"), F.lit(max(1, parts)))
-    return counted.groupBy("lang", "text", part.alias("part")).agg(F.collect_list(F.struct("source", "n")).alias("copies")).drop("part")
+def numbered_sources(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(staged (source, sid), seed): sid is a hash of the source, by the first seed for which no two of them share one."""
+    sources = stage(docs.select(_text("source")).distinct(), "sources")
+    n, seed = sources.count(), 0
+    while sources.select(F.xxhash64("source", F.lit(seed))).distinct().count() < n:
+        seed += 1
+    return sources.select("source", F.xxhash64("source", F.lit(seed)).alias("sid")), seed
+
+
+def _text(name: str):
+    return F.coalesce(C(name).cast("string"), F.lit("")).alias(name)
+
+
+def collapsed(docs: DataFrame, seed: int, sources: int) -> DataFrame:
+    """(lang, text, copies): each text of a language once, with [(sid, n)].
+
+    Texts are shuffled once, by (lang, text), after copies combined. A text of one source has its copies there; of
+    the others the copies are counted without the text, by 128 bits of its hashes.
+    """
+    d = docs.select(_text("lang"), _text("text"), F.xxhash64(_text("source"), F.lit(seed)).alias("sid"))
+    key = [F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(1)).alias("g")]
+    texts = d.groupBy("lang", "text").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("n"))
+    single = texts.where("low = high").select("lang", "text", F.array(F.struct(C("low").alias("sid"), "n")).alias("copies"))
+    part = F.pmod("sid", F.lit(max(1, -(-sources // SOURCES))))
+    counted = d.select("lang", *key, "sid").groupBy("lang", "h", "g", "sid").agg(F.count("*").alias("n"))
+    lists = counted.groupBy("lang", "h", "g", part.alias("part")).agg(F.collect_list(F.struct("sid", "n")).alias("copies"))
+    # all of the grouping's columns are used on both sides, so that Spark shuffles the texts once for both
+    several = texts.where("low <> high AND n > 0").select("lang", "text", *key).join(lists, ["lang", "h", "g"]).select("lang", "text", "copies")
+    return single.union(several)
 
 
 def terms_of(text: bytes):
@@ -63,20 +84,20 @@ _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else
 
 
 def _count(batches):
-    """Rows (lang, text, copies) to sums (lang, source, term, count, docs); term '' stands for the group itself."""
+    """Rows (lang, text, copies) to sums (lang, sid, term, count, docs); term '' stands for the group itself."""
     from collections import Counter
 
     import pyarrow as pa
 
-    groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    groups: dict[tuple[str, int], tuple[Counter, Counter]] = {}
 
     def out():
-        rows = [(lang, source, "", 0, 0) for lang, source in groups]
-        for (lang, source), (counts, docs) in groups.items():
-            rows += [(lang, source, t.decode("utf-8", "replace"), n, docs[t]) for t, n in counts.items()]
+        rows = [(lang, sid, "", 0, 0) for lang, sid in groups]
+        for (lang, sid), (counts, docs) in groups.items():
+            rows += [(lang, sid, t.decode("utf-8", "replace"), n, docs[t]) for t, n in counts.items()]
         groups.clear()
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["lang", "source", "term", "count", "docs"])
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["lang", "sid", "term", "count", "docs"])
 
     held = 0
     for batch in batches:
@@ -85,7 +106,7 @@ def _count(batches):
             for words in terms_of(text.as_py()):
                 counts.update(words)
             for copy in copies.as_py():
-                key = lang, copy["source"]
+                key = lang, copy["sid"]
                 if key not in groups:
                     groups[key] = Counter(), Counter()
                 total, docs = groups[key]
@@ -103,9 +124,11 @@ def _count(batches):
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """Staged (lang, source, term, count, docs); every group has a row of the term ''."""
-    texts = collapsed(docs).select("lang", C("text").cast("binary").alias("text"), "copies")
-    counted = texts.mapInArrow(_count, "lang string, source string, term string, count long, docs long")
-    return stage(counted.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")), "term-counts")
+    sources, seed = numbered_sources(docs)
+    texts = collapsed(docs, seed, sources.count()).select("lang", C("text").cast("binary").alias("text"), "copies")
+    counted = texts.mapInArrow(_count, "lang string, sid long, term string, count long, docs long")
+    summed = counted.groupBy("lang", "sid", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    return stage(summed.join(sources, "sid").select("lang", "source", "term", "count", "docs"), "term-counts")
 
 
 def _p(count: str, total: str, kept: str):
