@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracklens.functions import scalars as S
 from tracklens.operators import evaluation, evidence, filters, layout, projection, recommend, similarity
+from tracklens.operators.neighbour_store import NeighbourStore
 from tracklens.operators.vector_index import VectorIndex
 from tracklens.plans.adapters import view
 from tracklens.plans.base import query
@@ -36,6 +37,21 @@ def k1(spark, sf):
     return neighbours(spark, sf).select("source", "target", "rank", F.round("score", 6).alias("score"), F.round("distance", 6).alias("distance"))
 
 
+FROZEN = KNN.replace("FROM d GROUP BY pos", "FROM d JOIN tracks t USING (track_id) WHERE t.cluster <> 3 GROUP BY pos")
+
+
+@query("k1_kept_neighbours", f"WITH {FROZEN} SELECT source, target, rank, round(score, 6) AS score FROM k WHERE rank <= 10", "tracks")
+def k1_kept(spark, sf):
+    """A store built without a cluster, and with vectors that change later, then brought to what all tracks are now."""
+    t = view(spark, sf, "tracks").select("track_id", "cluster", "embedding")
+    first = t.where("cluster <> 3")
+    store = NeighbourStore.build(first.select("track_id", "embedding"), shared_path(spark, "kept"), 10)
+    turned = F.when(C("cluster") == 4, F.reverse("embedding")).otherwise(C("embedding")).alias("embedding")
+    store.update(first.where("cluster <> 5").select("track_id", turned))
+    store.update(t.select("track_id", "embedding"))
+    return store.lists().select("source", "target", "rank", F.round("score", 6).alias("score"))
+
+
 @query("j4_pairwise_cosine", f"WITH {KNN} SELECT source, count(*) AS pairs, round(max(score), 6) AS best FROM k GROUP BY source", "tracks")
 def j4(spark, sf):
     units = similarity.unit_vectors(vectors(spark, sf), True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklens.functions import scalars as S
-from tracklens.sources.shared import shared_path
+from tracklens.sources.shared import staged
 
 C = F.col
 # The columns of a CSV export.
@@ -21,14 +21,17 @@ def replace_partitions(df: DataFrame, path: str, *keys: str) -> None:
 def replace_partition(df: DataFrame, path: str, **keys: str) -> None:
     """Makes df the content of the one partition that keys name, also if df has no rows.
 
-    df is computed and kept beside the table first; a failure leaves the old partition in place.
+    df is computed and kept beside the table first. The kept rows are then written as new files, and only the
+    commit of that write takes the old ones away; a failure before it leaves the old partition in place. Without rows
+    the partition is overwritten by an empty file, half of which is the same.
     """
-    from urllib.parse import quote
-
-    spark, ready = df.sparkSession, shared_path(df.sparkSession, "ready")
-    df.write.parquet(ready)
-    place = "/".join(f"{name}={quote(value, safe='')}" for name, value in keys.items())
-    spark.read.schema(df.schema).parquet(ready).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{place}")
+    ready = staged(df, "ready")
+    if not ready.isEmpty():
+        replace_partitions(ready.withColumns({name: F.lit(value) for name, value in keys.items()}), path, *keys)
+        return
+    escape = df.sparkSession._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    place = "/".join(f"{name}={escape(value)}" for name, value in keys.items())
+    ready.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{place}")
 
 
 def write_snapshot(df: DataFrame, path: str, layout_version: int) -> None:
