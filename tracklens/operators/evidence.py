@@ -142,5 +142,5 @@ def signal_features(row: dict) -> dict:
     total = power.sum()
     share = lambda m: float(power[m].sum() / total) if total > 0 else 0.0
     crossings = np.mean(np.signbit(x[1:]) != np.signbit(x[:-1])) if len(x) > 1 else 0.0
-    values = {"rms": rms, "zero_crossing_rate": float(crossings), "crest": float(np.abs(x).max() / rms) if rms > 0 else 0.0, "low": share(freq < 250), "mid": share((freq >= 250) & (freq < 4000)), "high": share(freq >= 4000), "duration_sec": len(x) / rate}
+    values = {"rms": rms, "zero_crossing_rate": float(crossings), "crest": float(np.abs(x).max() / rms) if rms > 0 else 0.0, "low": share((freq >= 20) & (freq < 250)), "mid": share((freq >= 250) & (freq < 4000)), "high": share(freq >= 4000), "duration_sec": len(x) / rate}
     return {k: round(v, 6) for k, v in values.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracklens.functions import scalars as S
-from tracklens.operators import evaluation, evidence, filters, layout, projection, recommend, similarity
+from tracklens.operators import evaluation, evidence, filters, layout, projection, recommend, similarity, spectral
 from tracklens.operators.neighbour_store import NeighbourStore
 from tracklens.operators.vector_index import VectorIndex
 from tracklens.plans.adapters import view
@@ -266,6 +266,16 @@ def e5(spark, sf):
     return out.select("track_id", C("features")["rms"].alias("rms"), C("features")["duration_sec"].alias("duration_sec"))
 
 
+@query("e5_spectral_features")
+def e5_spectral(spark, sf):
+    """Each track as eight seconds of clicks at its tempo."""
+    t, rate, n = view(spark, sf, "tracks").select("track_id", "bpm"), 2000, 16_000
+    beat = F.coalesce(C("bpm"), F.lit(120.0)) / 60 / rate
+    sound = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i * beat - F.floor(i * beat) < 0.02, F.sin(i * 1.7)).otherwise(0.0))
+    out = spectral.describe(t.repartition(32).select("track_id", sound.alias("samples"), F.lit(rate).alias("rate")), "track_id")
+    return out.select("track_id", C("features")["est_bpm"].alias("est_bpm"), C("features")["onset_density_per_sec"].alias("onset_density_per_sec"), F.size("embedding").alias("dimensions"))
+
+
 @query("x1_extractor_registry", "SELECT track_id, 'count' AS extractor, '2' AS version, CAST(64 AS DOUBLE) AS n FROM tracks WHERE cluster <> 3", "tracks")
 def x1(spark, sf):
     registry = evidence.ExtractorRegistry()
