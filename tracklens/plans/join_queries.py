@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tracklens.functions import scalars as S
 from tracklens.operators import filters, joins, merges
+from tracklens.operators.text_index import TextIndex
 from tracklens.plans.adapters import view
 from tracklens.plans.base import query
 from tracklens.plans.scalar_queries import ENERGY_SQL, NEIGHBOURS, _case, fnv_sql
+from tracklens.sources.shared import shared_path
 
 C = F.col
 
@@ -79,6 +81,12 @@ def f6(spark, sf):
     return filters.search_page(view(spark, sf, "tracks"), "Artist 1", 10, 20).select("track_id", "created_at")
 
 
+@query("f6_indexed_search", "SELECT track_id, created_at FROM tracks WHERE lower(concat(coalesce(title, ''), ' ', coalesce(artist, ''))) LIKE '%artist 1%' ORDER BY created_at DESC, track_id LIMIT 20 OFFSET 10", "tracks")
+def f6_index(spark, sf):
+    """The same page from an index built on all tracks."""
+    return TextIndex.build(view(spark, sf, "tracks"), shared_path(spark, "texts")).search("Artist 1", 10, 20)
+
+
 @query("f7_visible_rows", "SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3 OR c_mktsegment = 'BUILDING'")
 def f7(spark, sf):
     libraries = view(spark, sf, "customer").select(C("c_custkey").alias("library_id"), C("c_nationkey").alias("owner_id"), F.when(C("c_mktsegment") == "BUILDING", "demo").otherwise("own").alias("source"))
