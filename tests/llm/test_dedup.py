@@ -234,7 +234,7 @@ def test_no_link_within_the_radius_is_lost(spark, block):
             x = root[x]
         return x
 
-    for a, t in rows:
+    for a, t in rows:  # all pairs
         for b, u in rows:
             if b < a and (fps[a] ^ fps[b]).bit_count() <= 6 and similarity(t, u) >= 0.8:
                 x, y = find(a), find(b)
@@ -243,6 +243,23 @@ def test_no_link_within_the_radius_is_lost(spark, block):
     assert {r.node: r.root for r in simhash_dedup.near_copies(keyed(df), block=block).collect()} == want
 
 
+@pytest.mark.parametrize("block", [16, 4096])
+def test_pairs_of_one_large_bucket_are_all_found(spark, block):
+    """120 pairs of texts, all of the same words in other orders: one fingerprint, blocks larger than their mean."""
+    import random
+
+    rng = random.Random(9)
+    words, rows = [f"w{i}" for i in range(120)], []
+    for i in range(120):
+        one = rng.sample(words, 120)
+        other = list(one)
+        at = rng.randrange(119)
+        other[at], other[at + 1] = other[at + 1], other[at]  # six of 116 shingles change
+        rows += [(i, " ".join(one)), (1000 + i, " ".join(other))]
+    got = simhash_dedup.near_copies(keyed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), block=block)
+    assert {r.node: r.root for r in got.collect()} == {i: i % 1000 for i, _ in rows}
+
+
 def test_near_dedup_of_odd_rows(spark, docs, rows, empty):
     out = simhash_dedup.dedup(docs)
     assert out.columns == docs.columns

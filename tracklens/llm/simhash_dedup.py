@@ -20,9 +20,10 @@ kept, no bucket holds more than 2**16 different fingerprints. Components are bui
 ``SIMILARITY`` (0.8) or more. Candidates come from the same covering tables, over fingerprints of a text's
 distinct words, which an edit moves less than it moves shingles: of pairs at 0.8 or more 95 % differ in at
 most ``RADIUS`` (6) bits. Every link is then verified on the shingles themselves. A bucket's rows first
-meet its smallest k, then, as long as the bucket holds several components, other rows, GROWTH at first and
-then as many times more in every round, up to all of them; pairs within a component are skipped. So a group of
-near copies takes a few links a row, and no link between components is lost.
+meet its smallest k; then, in buckets that hold several components, other rows, a FEW of each block at first and
+in the last round all of them; pairs within a component are skipped. Candidates whose fingerprints of shingles are
+FAR apart, by far more than those of near copies, are left out before texts are read, so texts that only share
+their words make no pairs. So a group of near copies takes a few links a row.
 
 Defined results: a null text counts as empty; a null doc_id sorts first; texts without words are alike;
 texts are read whole, however long; an empty table gives an empty result; other columns are ignored by
@@ -43,10 +44,15 @@ BITS = 64
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 6
 #: Rows of a bucket that meet as many others in one task; larger buckets meet block by block.
 BLOCK = 4096
+#: Rows a block meets at most where all small groups of a batch are compared at once; others go a slab of rows at a time.
+SIDE = 64
 #: Different fingerprints that a bucket of the first tables holds before it is dealt again.
 LIMIT = 1 << 16
-#: Times as many rows of a bucket that a row meets in each further round.
-GROWTH = 16
+#: Neighbours of a row in a block that are met in the first round over blocks; the second meets all that are left.
+FEW = 16
+#: Bits by which the shingles' fingerprints of a candidate pair may differ: at a similarity of 0.8 they differ in 9.4 of 64 on
+#: average (2.8 either way), those of unrelated texts in 32 (4 either way).
+FAR = 20
 
 
 def masks(radius: int) -> list[int]:
@@ -92,6 +98,21 @@ def word_fingerprint(text: str | None) -> int:
     return majority(np.fromiter((xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)))
 
 
+def word_and_shingle_fingerprints(docs_keyed: DataFrame, width: int) -> DataFrame:
+    """(k, fp, sfp): fingerprints of distinct words and of shingles, as signed longs."""
+
+    def of(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [x.as_py() for x in batch.column("text")]
+            both = [np.fromiter((f(t) for t in texts), np.uint64, len(texts)).view(np.int64) for f in (word_fingerprint, lambda t: fingerprint(t, width))]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), *map(pa.array, both)], ["k", "fp", "sfp"])
+
+    return docs_keyed.select("k", "text").mapInArrow(of, "k long, fp long, sfp long")
+
+
 def majority(h) -> int:
     """The bits that over half of the hashes have set."""
     import numpy as np
@@ -271,7 +292,7 @@ def _mixed(rows: DataFrame, block: int) -> DataFrame:
 
 
 def _block_pairs(rows: DataFrame, mixed: DataFrame) -> DataFrame:
-    """(key, i, j, side, k, fp, label) of staged (key, k, fp, label).
+    """(key, i, j, side, k, fp, sfp, label) of staged (key, k, fp, sfp, label).
 
     Side 0 has the rows outside a bucket's largest label, side 1 all of them; block i of the one side meets
     block j of the other, so a large bucket is never in one task, and its largest label doesn't meet itself.
@@ -279,31 +300,34 @@ def _block_pairs(rows: DataFrame, mixed: DataFrame) -> DataFrame:
     d = rows.join(mixed, "key")
     at = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    few = d.where("label <> main").select("key", at("na").alias("i"), every("nb").alias("j"), F.lit(0).alias("side"), "k", "fp", "label")
-    return few.union(d.select("key", every("na").alias("i"), at("nb").alias("j"), F.lit(1).alias("side"), "k", "fp", "label"))
+    few = d.where("label <> main").select("key", at("na").alias("i"), every("nb").alias("j"), F.lit(0).alias("side"), "k", "fp", "sfp", "label")
+    return few.union(d.select("key", every("na").alias("i"), at("nb").alias("j"), F.lit(1).alias("side"), "k", "fp", "sfp", "label"))
 
 
-def _meet(radius: int, most: int):
+def _meet(radius: int, most: int | None):
     """Rows in the order of (key, i, j, side, k): pairs (a, b) of other labels within the radius, b the smaller;
 
-    of each row of side 0 those among the first ``most`` rows of side 1 that lie within the radius.
+    of each row of side 0 the first ``most`` rows of side 1 that lie within the radius and whose shingles' fingerprints
+    aren't FAR apart, or all of them.
     """
 
-    def pairs(side, k, fp, label):
+    def pairs(side, k, fp, sfp, label):
         import numpy as np
 
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         for at in range(0, len(x), 256):
             own = x[at : at + 256]
             near = np.bitwise_count(fp[own][:, None] ^ fp[y][None]) <= radius
-            near &= k[own][:, None] != k[y][None]
-            near &= (np.cumsum(near, 1) <= most) & (label[own][:, None] != label[y][None])
+            near &= (np.bitwise_count(sfp[own][:, None] ^ sfp[y][None]) <= FAR) & (k[own][:, None] != k[y][None])
+            if most is not None:
+                near &= np.cumsum(near, 1) <= most
+            near &= label[own][:, None] != label[y][None]
             i, j = np.nonzero(near)
             a, b = k[own[i]], k[y[j]]
             yield np.maximum(a, b), np.minimum(a, b)
 
-    def small(starts, ends, side, k, fp, label):
-        """The same for all groups at once whose side 1 has ``most`` rows at most."""
+    def small(starts, ends, side, k, fp, sfp, label):
+        """The same for all groups at once whose side 1 has SIDE rows at most, and no more than ``most``."""
         import numpy as np
 
         firsts = np.add.reduceat((side == 0).astype(np.int64), starts)  # rows of side 0 come first
@@ -313,7 +337,7 @@ def _meet(radius: int, most: int):
         times = seconds[group]
         one = np.repeat(x, times)
         other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(middle[group], times)
-        near = (np.bitwise_count(fp[one] ^ fp[other]) <= radius) & (k[one] != k[other]) & (label[one] != label[other])
+        near = (np.bitwise_count(fp[one] ^ fp[other]) <= radius) & (np.bitwise_count(sfp[one] ^ sfp[other]) <= FAR) & (k[one] != k[other]) & (label[one] != label[other])
         a, b = k[one[near]], k[other[near]]
         return np.maximum(a, b), np.minimum(a, b)
 
@@ -321,7 +345,7 @@ def _meet(radius: int, most: int):
         import numpy as np
         import pyarrow as pa
 
-        names = ("key", "i", "j", "side", "k", "fp", "label")
+        names = ("key", "i", "j", "side", "k", "fp", "sfp", "label")
         left = None
         for batch in itertools.chain(batches, [None]):
             new = None if batch is None else [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
@@ -333,17 +357,17 @@ def _meet(radius: int, most: int):
             edges = edges if new is None else edges[:-1]  # the last group may go on in the next batch
             if len(edges) > 1:
                 starts, ends = edges[:-1], edges[1:]
-                side, k, fp, label = rows[3][: edges[-1]], rows[4], rows[5].view(np.uint64), rows[6]
-                few = np.add.reduceat((side == 1).astype(np.int64), starts) <= most
+                side, k, fp, sfp, label = rows[3][: edges[-1]], rows[4], rows[5].view(np.uint64), rows[6].view(np.uint64), rows[7]
+                few = np.add.reduceat((side == 1).astype(np.int64), starts) <= min(SIDE, most or SIDE)
                 found = []
                 for n in np.flatnonzero(~few).tolist():
                     s, e = starts[n], ends[n]
-                    found += pairs(side[s:e], k[s:e], fp[s:e], label[s:e])
+                    found += pairs(side[s:e], k[s:e], fp[s:e], sfp[s:e], label[s:e])
                 if few.any():  # their rows, side by side
                     size = (ends - starts)[few]
                     own = np.repeat(few, ends - starts)
                     stop = np.cumsum(size)
-                    found.append(small(stop - size, stop, side[own], *(c[: edges[-1]][own] for c in (k, fp, label))))
+                    found.append(small(stop - size, stop, side[own], *(c[: edges[-1]][own] for c in (k, fp, sfp, label))))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[n] for f in found] or [np.zeros(0, np.int64)])) for n in (0, 1)], ["a", "b"])
             left = [r[edges[-1] :] for r in rows]
 
@@ -353,28 +377,23 @@ def _meet(radius: int, most: int):
 def near_copies(docs_keyed: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """(node, root): for texts with a near copy, the smallest k of their component."""
     spark = docs_keyed.sparkSession
-    fps = stage(fingerprints(docs_keyed, None).select("k", "fp"), "words")
+    fps = stage(word_and_shingle_fingerprints(docs_keyed, width), "words")
     bits = [_signed(m) for m in masks(radius)]
-    dealt = fps.select("k", "fp", F.explode(F.sequence(F.lit(0), F.lit(len(bits) - 1))).alias("v")).select("k", "fp", F.xxhash64("v", F.col("fp").bitwiseAND(F.element_at(F.lit(bits), F.col("v") + 1))).alias("key"))
-    least = stage(dealt.groupBy("key").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    met = stage(dealt.join(least.select("key", "first"), "key"), "met")
-
-    firsts = met.where("k > first").select(F.col("k").alias("a"), F.col("first").alias("b"), "fp").distinct()
-    other = fps.select(F.col("k").alias("b"), F.col("fp").alias("fp2"))
-    tested = stage(firsts.join(other, "b").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius).select("a", "b"), "pairs")
+    dealt = fps.select("k", "fp", "sfp", F.explode(F.sequence(F.lit(0), F.lit(len(bits) - 1))).alias("v")).select("k", "fp", "sfp", F.xxhash64("v", F.col("fp").bitwiseAND(F.element_at(F.lit(bits), F.col("v") + 1))).alias("key"))
+    least = stage(dealt.groupBy("key").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "buckets")
+    met = stage(dealt.join(least, "key"), "met")
+
+    close = lambda one, other, most: F.bit_count(F.col(one).bitwiseXOR(F.col(other))) <= most
+    firsts = met.where("k > first").select(F.col("k").alias("a"), F.col("first").alias("b"), "fp", "sfp").distinct()
+    other = fps.select(F.col("k").alias("b"), F.col("fp").alias("fp2"), F.col("sfp").alias("sfp2"))
+    tested = stage(firsts.join(other, "b").where(close("fp", "fp2", radius) & close("sfp", "sfp2", FAR)).select("a", "b"), "pairs")
     roots = stage(components(_verified(tested, docs_keyed, width, similarity)), "near-roots")
-    largest = least.agg(F.max("n")).first()[0] or 0
-    most = 1
-    while most < min(largest, block):
-        most *= GROWTH
-        named = stage(met.join(roots, F.col("k") == F.col("node"), "left").select("key", "k", "fp", F.coalesce("root", "k").alias("label")), "named")
+    for most in (FEW, None):
+        named = met.drop("first").join(roots, F.col("k") == F.col("node"), "left").select("key", "k", "fp", "sfp", F.coalesce("root", "k").alias("label"))
+        named = stage(named, "named")
         mixed = stage(_mixed(named, block), "mixed")
-        if mixed.isEmpty():
-            break
         dealt_pairs = _block_pairs(named, mixed).repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "k")
         new = stage(dealt_pairs.mapInArrow(_meet(radius, most), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            continue
         tested = tested.union(new)
         links = _verified(new, docs_keyed, width, similarity)
         if not links.isEmpty():
