@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracklens.plans.adapters import view
 from tracklens.plans.base import query
-from tracklens.sources import catalogue, sinks
+from tracklens.sources import catalogue, sinks, tag_frames
 from tracklens.sources.shared import shared_path
 
 C = F.col
@@ -19,6 +19,20 @@ def s3(spark, sf):
     return catalogue.scan_files(spark, path).where("NOT endswith(path, '_SUCCESS')").groupBy("status", "suffix").agg(F.count_distinct(F.regexp_extract("path", "cluster=([0-9]+)", 1)).alias("n"))
 
 
+@query("s20_tag_frames", """
+SELECT track_id, title, artist, genre, CASE WHEN track_id < 't000050' OR bpm <= 0 THEN NULL ELSE bpm END AS bpm,
+  CASE WHEN musical_key <> '' THEN musical_key END AS "key", 'found' AS status FROM tracks""", "tracks")
+def s20(spark, sf):
+    """A file for each track, whose tags hold what the catalogue knows of it."""
+    path = shared_path(spark, "tags")
+    coded = F.base64(F.concat(F.lit('{"key":"'), C("musical_key"), F.lit('"}')).cast("binary"))
+    tempo = F.when(C("track_id") < "t000050", F.lit("none")).otherwise(C("bpm").cast("string"))
+    tags = F.create_map(F.lit("title"), C("title"), F.lit("artist"), C("artist"), F.lit("genre"), C("genre"), F.lit("tbpm"), tempo, F.lit("initialkey"), F.when((C("track_id") < "t000100") & (C("musical_key") != ""), coded).otherwise(C("musical_key")))
+    tag_frames.write_heads(view(spark, sf, "tracks").select(F.concat("track_id", F.lit(".mp3")).alias("name"), tags.alias("tags")), path)
+    found = tag_frames.tag_metadata(tag_frames.load_tags(spark, path))
+    return found.select(F.regexp_extract("path", r"([^/]+)\.mp3$", 1).alias("track_id"), "title", "artist", "genre", "bpm", "key", "status")
+
+
 @query("s4_content_hash", "SELECT sha256(string_agg(concat(track_id, chr(10)), '' ORDER BY track_id)) AS content_hash, 8 * count(*) AS size FROM tracks GROUP BY title", "tracks")
 def s4(spark, sf):
     """A file for each title, with all of its tracks."""
