@@ -55,6 +55,8 @@ def test_updates_equal_a_full_run(spark, tmp_path, block, monkeypatch):
 
     assert store.update(frame())["pairs"] == 0 and store.version() == 2  # nothing to do
     assert [r.target for r in store.nearest("n0", 2).collect()] == full(x, mean, sd, 5)["n0"][:2]
+    ranked = store.rank("n0", 30).collect()  # more than a list holds
+    assert [r.track_id for r in ranked] == full(x, mean, sd, 30)["n0"] and store.rank("none").count() == 0
 
 
 def test_few_tracks_and_failures(spark, tmp_path, monkeypatch):

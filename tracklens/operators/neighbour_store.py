@@ -77,7 +77,7 @@ class NeighbourStore:
         return store
 
     def version(self) -> int:
-        return self.spark.read.schema("version int").parquet(f"{self.path}/versions").agg(F.max("version")).first()[0]
+        return self.spark.read.schema("version int").parquet(f"{self.path}/versions").coalesce(1).agg(F.max("version")).first()[0]
 
     def units(self) -> DataFrame:
         return self.spark.read.schema(UNITS).parquet(f"{self.path}/units-{self.version()}")
@@ -90,6 +90,10 @@ class NeighbourStore:
         """One track's list."""
         return self.lists().where((C("source") == track_id) & (C("rank") <= limit)).orderBy("rank")
 
+    def rank(self, track_id: str, limit: int = 80) -> DataFrame:
+        """(track_id, score) of the tracks nearest to one, more of them than its list has: a pass over the kept vectors."""
+        return similarity.rank_units(self.units(), track_id, limit)
+
     def _stats(self) -> DataFrame:
         return self.spark.read.schema("means array<double>, sds array<double>, k int").parquet(f"{self.path}/stats")  # one row
 
