@@ -260,6 +260,75 @@ def test_pairs_of_one_large_bucket_are_all_found(spark, block):
     assert {r.node: r.root for r in got.collect()} == {i: i % 1000 for i, _ in rows}
 
 
+def test_every_table_of_near_copies_keeps_half_of_the_bits():
+    """A table that keeps few bits puts unrelated texts into one bucket, whose pairs grow with the square of the input."""
+    import random
+
+    masks = simhash_dedup.masks(6)
+    assert len(masks) == 127 and min(m.bit_count() for m in masks) >= 32
+    rng = random.Random(2)
+    for _ in range(5000):
+        flip = sum(1 << b for b in rng.sample(range(64), 6))
+        assert any(not flip & m for m in masks)
+
+
+def test_many_edited_copies_of_a_text_take_few_pairs(spark, monkeypatch):
+    """300 copies of a text, most of them too far apart from each other: pairs whose texts are compared, and the components."""
+    import random
+
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.randint(0, 12)):
+            copy[at] = base[rng.randrange(150)]
+        rows.append((i, " ".join(copy)))
+    seen, verified = [], simhash_dedup._verified
+    monkeypatch.setattr(simhash_dedup, "_verified", lambda pairs, *more: seen.append(pairs.count()) or verified(pairs, *more))
+    got = {r.node: r.root for r in simhash_dedup.near_copies(keyed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))).collect()}
+    fps = [simhash_dedup.word_fingerprint(t) for _, t in rows]
+    sets = [set(zip(*(t.split()[n:] for n in range(5)))) for _, t in rows]
+    root, links, near = list(range(300)), 0, 0
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(300):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 6:
+                near += 1
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    links += 1
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+    assert got == {i: find(i) for i in range(300) if any(find(j) == find(i) for j in range(300) if j != i)}
+    assert near > 5 * 300 and sum(seen) < 4 * 300
+
+
+def test_sketches_of_near_copies_differ_in_few_bits():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in rng.integers(0, 10**6, 400)]
+    texts, bits = [" ".join(words)], []
+    for at in range(60):
+        copy = list(words)
+        for i in rng.choice(400, 4 + at % 6, replace=False):
+            copy[i] = "x"
+        texts.append(" ".join(copy))
+    sets = [np.unique(simhash_dedup.shingle_hashes(t, 5)) for t in texts]
+    odd = [np.bincount((h >> np.uint64(55)).astype(int), minlength=512) % 2 for h in sets]
+    for h, o in zip(sets[1:], odd[1:]):
+        if len(np.intersect1d(h, sets[0])) >= 0.8 * len(np.union1d(h, sets[0])):
+            bits.append((o != odd[0]).sum() <= simhash_dedup.most_apart(np.array([len(h) + len(sets[0])]), 0.8)[0])
+    assert len(bits) > 20 and all(bits)
+    unrelated = np.bincount(rng.integers(0, 512, 396), minlength=512) % 2
+    assert (unrelated != odd[0]).sum() > simhash_dedup.most_apart(np.array([792]), 0.8)[0]
+
+
 def test_near_dedup_of_odd_rows(spark, docs, rows, empty):
     out = simhash_dedup.dedup(docs)
     assert out.columns == docs.columns

@@ -19,11 +19,12 @@ kept, no bucket holds more than 2**16 different fingerprints. Components are bui
 ``dedup`` removes near copies: texts whose distinct shingles of ``WIDTH`` (5) words have a Jaccard similarity of
 ``SIMILARITY`` (0.8) or more. Candidates come from the same covering tables, over fingerprints of a text's
 distinct words, which an edit moves less than it moves shingles: of pairs at 0.8 or more 95 % differ in at
-most ``RADIUS`` (6) bits. Every link is then verified on the shingles themselves. A bucket's rows first
-meet its smallest k; then, in buckets that hold several components, other rows, a FEW of each block at first and
-in the last round all of them; pairs within a component are skipped. Candidates whose fingerprints of shingles are
-FAR apart, by far more than those of near copies, are left out before texts are read, so texts that only share
-their words make no pairs. So a group of near copies takes a few links a row.
+most ``RADIUS`` (6) bits. A first pass over the tables only finds the rows that have another within the radius,
+whose shingles' fingerprints aren't FAR apart. Those rows get a sketch of their shingles, and the tables are read three
+times more: by ``CLOSE`` (3) bits and by the whole radius each row proposes its most similar row of another component; then
+all pairs of different components are proposed that the sketches don't rule out. Every link is verified on the
+shingles themselves. So a group of near copies takes a few links a row, and the pairs that are left are those between
+components whose similarity is just below the bound.
 
 Defined results: a null text counts as empty; a null doc_id sorts first; texts without words are alike;
 texts are read whole, however long; an empty table gives an empty result; other columns are ignored by
@@ -42,23 +43,24 @@ from tracklens.llm.common import components, keyed, partitions, stage, table
 BITS = 64
 #: What makes a near copy for ``dedup``, and the radius of its candidate search.
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 6
-#: Rows of a bucket that meet as many others in one task; larger buckets meet block by block.
+#: Radius of the first links.
+CLOSE = 3
+#: Rows of a bucket that meet in one task; larger buckets meet block by block.
 BLOCK = 4096
-#: Rows a block meets at most where all small groups of a batch are compared at once; others go a slab of rows at a time.
-SIDE = 64
 #: Different fingerprints that a bucket of the first tables holds before it is dealt again.
 LIMIT = 1 << 16
-#: Neighbours of a row in a block that are met in the first round over blocks; the second meets all that are left.
-FEW = 16
 #: Bits by which the shingles' fingerprints of a candidate pair may differ: at a similarity of 0.8 they differ in 9.4 of 64 on
 #: average (2.8 either way), those of unrelated texts in 32 (4 either way).
 FAR = 20
+#: Bits of a sketch of shingles, and the standard deviations that a pair of near copies may lie above its mean.
+SKETCH, BEYOND = 512, 4
 
 
 def masks(radius: int) -> list[int]:
     """The covering tables' masks over 64 bits."""
     n = 1 << (radius + 1)
-    vector = [i % (n - 1) + 1 for i in range(BITS)]
+    # more vectors than bits: of the half with the highest bit set, so that every table keeps 32 bits or all of them (radius 6)
+    vector = [i % (n - 1) + 1 if n <= BITS else n // 2 + 37 * i % (n // 2) for i in range(BITS)]
     return [sum(1 << i for i in range(BITS) if (vector[i] & v).bit_count() % 2) for v in range(1, n)]
 
 
@@ -261,115 +263,185 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 3) -> Data
     return found.join(ids, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_sets(docs_keyed: DataFrame, width: int) -> DataFrame:
-    """(k, shingles): the distinct hashes of a text's shingles."""
+def sketched_sets(docs_keyed: DataFrame, width: int) -> DataFrame:
+    """(k, size, sketch, shingles): the distinct hashes of a text's shingles, their number and their odd sketch.
+
+    A bit of the sketch tells whether an odd number of hashes falls on it, so the bits in which two sketches differ are
+    those of the shingles that only one of the texts has.
+    """
 
     def of(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            sets = [np.unique(shingle_hashes(x.as_py(), width)).view(np.int64) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(sets, pa.list_(pa.int64()))], ["k", "shingles"])
+            sets = [np.unique(shingle_hashes(x.as_py(), width)) for x in batch.column("text")]
+            odd = [np.packbits(np.bincount((h >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH) % 2 == 1).tobytes() for h in sets]
+            columns = [pa.array([len(h) for h in sets], pa.int64()), pa.array(odd, pa.binary()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), *columns], ["k", "size", "sketch", "shingles"])
 
-    return docs_keyed.select("k", "text").mapInArrow(of, "k long, shingles array<long>")
+    return docs_keyed.select("k", "text").mapInArrow(of, "k long, size long, sketch binary, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, docs_keyed: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The staged pairs (a, b) whose texts' shingle sets are alike enough; only texts in pairs are read."""
-    ids = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    sets = stage(shingle_sets(docs_keyed.select("k", "text").join(ids, "k", "left_semi"), width), "shingles")
+def most_apart(sizes, similarity: float):
+    """Bits in which the sketches of near copies differ at most, by the sum of their sets' sizes."""
+    import numpy as np
+
+    only_one = sizes * (1 - similarity) / (1 + similarity)
+    mean = SKETCH * (1 - np.exp(-2 * only_one / SKETCH)) / 2
+    spread = SKETCH * (1 - np.exp(-4 * only_one / SKETCH)) / 4 - only_one * np.exp(-4 * only_one / SKETCH)
+    return mean + BEYOND * np.sqrt(np.maximum(spread, 0)) + 1
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts' shingle sets are alike enough."""
     both = pairs.join(sets.select(F.col("k").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return stage(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
 
 
-def _mixed(rows: DataFrame, block: int) -> DataFrame:
-    """(key, main, na, nb) of buckets that hold several labels: the largest label, blocks of the others and of all."""
-    labels = rows.groupBy("key", "label").count()
-    about = labels.groupBy("key").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels"))
-    return about.where("labels > 1").select("key", "main", F.ceil((F.col("n") - F.col("most")) / block).cast("int").alias("na"), F.ceil(F.col("n") / block).cast("int").alias("nb"))
+def _in_tables(rows: DataFrame, radius: int, block: int | None = None) -> DataFrame:
+    """The rows once for each table v, buckets in order; with block as (.., v, i, j, side).
+
+    The rows of a bucket over ``block`` are dealt to blocks; block i (side 0) meets block j (side 1) in a group of its own,
+    and itself in (i, i), so that no task has a whole large bucket.
+    """
+    bits = masks(radius)
+    kept = F.col("fp").bitwiseAND(F.element_at(F.lit([_signed(m) for m in bits]), F.col("v") + 1))
+    each, group = rows.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(len(bits) - 1)))), []
+    if block is not None:
+        zero, group = F.lit(0), ["i", "j"]
+        sizes = each.groupBy("v", kept.alias("key")).count().where(F.col("count") > block)
+        large = stage(sizes.select("v", "key", F.ceil(F.col("count") / block).cast("int").alias("n")), "large") if rows.count() > block else None
+        if large is None or large.isEmpty():
+            each = each.withColumns({"i": zero, "j": zero, "side": zero})
+        else:
+            own = F.pmod(F.xxhash64("k"), F.col("n")).cast("int")
+            blocks = each.withColumn("key", kept).join(large, ["v", "key"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+            met = blocks.withColumn("own", own).withColumn("other", F.explode(F.sequence(zero, F.col("n") - 1)))
+            each = met.select(*each.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return each.repartition(partitions(rows.sparkSession), kept, "v", *group).sortWithinPartitions(kept, "v", *group)
+
+
+def _groups(batches, names: tuple[str, ...], bits, held: int | None = None):
+    """Whole groups, some at a time: (number of each row's group, columns) of rows in the order of ``_in_tables``.
+
+    Of a group that goes on in the next batch and is over ``held``, earlier rows go out in parts of more than ``held`` rows.
+    """
+    import numpy as np
 
+    left = None
+    for batch in itertools.chain(batches, [None]):
+        new = None if batch is None else [np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint64).reshape(-1, SKETCH // 64) if n == "sketch" else batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+        rows = new if left is None else left if new is None else [np.concatenate(p) for p in zip(left, new)]
+        if rows is None or not len(rows[0]):
+            continue
+        of = dict(zip(names, rows))
+        parts = [of["fp"].view(np.uint64) & bits[of["v"]], *(of[n] for n in ("v", "i", "j") if n in of)]
+        starts = np.concatenate([[True], np.logical_or.reduce([p[1:] != p[:-1] for p in parts])])
+        end = len(starts) if new is None else int(np.flatnonzero(starts)[-1])
+        if end:
+            yield np.cumsum(starts[:end]), {n: c[:end] for n, c in of.items()}
+        if new is not None and held is not None and len(starts) - end > 2 * held + 2:
+            yield np.zeros(len(starts) - end - held - 1, np.int64), {n: c[end : -held - 1] for n, c in of.items()}
+            end = len(starts) - held - 1
+        left = [r[end:] for r in rows]
+
+
+def _near(group, of, radius: int):
+    """Pairs of positions (x, y) within a group and the radius, shingles' fingerprints not FAR apart; a distance at a time."""
+    import numpy as np
 
-def _block_pairs(rows: DataFrame, mixed: DataFrame) -> DataFrame:
-    """(key, i, j, side, k, fp, sfp, label) of staged (key, k, fp, sfp, label).
+    fp, sfp = of["fp"].view(np.uint64), of["sfp"].view(np.uint64)
+    x, step = np.arange(len(group)), 0
+    while len(x):
+        step += 1
+        x = x[: np.searchsorted(x, len(group) - step)]
+        x = x[group[x] == group[x + step]]
+        y = x + step
+        near = (np.bitwise_count(fp[x] ^ fp[y]) <= radius) & (np.bitwise_count(sfp[x] ^ sfp[y]) <= FAR)
+        if near.any():
+            yield x[near], y[near]
 
-    Side 0 has the rows outside a bucket's largest label, side 1 all of them; block i of the one side meets
-    block j of the other, so a large bucket is never in one task, and its largest label doesn't meet itself.
-    """
-    d = rows.join(mixed, "key")
-    at = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    few = d.where("label <> main").select("key", at("na").alias("i"), every("nb").alias("j"), F.lit(0).alias("side"), "k", "fp", "sfp", "label")
-    return few.union(d.select("key", every("na").alias("i"), at("nb").alias("j"), F.lit(1).alias("side"), "k", "fp", "sfp", "label"))
 
+def _first_table(fp, other, v, bits):
+    """Where v is the first table in which two fingerprints meet."""
+    import numpy as np
 
-def _meet(radius: int, most: int | None):
-    """Rows in the order of (key, i, j, side, k): pairs (a, b) of other labels within the radius, b the smaller;
+    first, differ = np.ones(len(v), bool), fp ^ other
+    for t in range(int(v.max(initial=0))):
+        first &= (v <= t) | (differ & bits[t] != 0)
+    return first
 
-    of each row of side 0 the first ``most`` rows of side 1 that lie within the radius and whose shingles' fingerprints
-    aren't FAR apart, or all of them.
-    """
 
-    def pairs(side, k, fp, sfp, label):
+class _Best:
+    """For each position the partner of the least measure, then of the smallest k."""
+
+    def __init__(self, k):
         import numpy as np
 
-        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        for at in range(0, len(x), 256):
-            own = x[at : at + 256]
-            near = np.bitwise_count(fp[own][:, None] ^ fp[y][None]) <= radius
-            near &= (np.bitwise_count(sfp[own][:, None] ^ sfp[y][None]) <= FAR) & (k[own][:, None] != k[y][None])
-            if most is not None:
-                near &= np.cumsum(near, 1) <= most
-            near &= label[own][:, None] != label[y][None]
-            i, j = np.nonzero(near)
-            a, b = k[own[i]], k[y[j]]
-            yield np.maximum(a, b), np.minimum(a, b)
-
-    def small(starts, ends, side, k, fp, sfp, label):
-        """The same for all groups at once whose side 1 has SIDE rows at most, and no more than ``most``."""
+        self.k, self.measure, self.at = k, np.full(len(k), np.inf), np.full(len(k), -1)
+
+    def see(self, x, y, measure):
+        for one, other in ((x, y), (y, x)):  # no position twice in either
+            old = self.measure[one]
+            better = (measure < old) | ((measure == old) & (self.k[other] < self.k[self.at[one]]))
+            self.measure[one[better]], self.at[one[better]] = measure[better], other[better]
+
+    def found(self, of, bits):
+        """Positions that have a partner, and the partners; each pair in its first table only, so the best of all tables is one of them."""
+        import numpy as np
+
+        x = np.flatnonzero(self.at >= 0)
+        fp = of["fp"].view(np.uint64)
+        x = x[_first_table(fp[x], fp[self.at[x]], of["v"][x], bits)]
+        return x, self.at[x]
+
+
+def _mates(radius: int, block: int):
+    """k of rows that have another near; all rows of buckets over ``block``."""
+
+    def of(batches):
         import numpy as np
+        import pyarrow as pa
+
+        bits = np.array(masks(radius), np.uint64)
+        for group, rows in _groups(batches, ("v", "k", "fp", "sfp"), bits, block):
+            large = np.bincount(group)[group] > block
+            best, fp, at = _Best(rows["k"]), rows["fp"].view(np.uint64), np.flatnonzero(~large)
+            for x, y in _near(group[at], {n: c[at] for n, c in rows.items()}, radius):
+                best.see(at[x], at[y], np.bitwise_count(fp[at[x]] ^ fp[at[y]]))
+            yield pa.RecordBatch.from_arrays([pa.array(rows["k"][np.concatenate([np.flatnonzero(large), best.found(rows, bits)[0]])])], ["k"])
+
+    return of
+
 
-        firsts = np.add.reduceat((side == 0).astype(np.int64), starts)  # rows of side 0 come first
-        middle, seconds = starts + firsts, ends - starts - firsts
-        group = np.repeat(np.arange(len(starts)), firsts)
-        x = np.arange(firsts.sum()) - np.repeat(np.cumsum(firsts) - firsts, firsts) + starts[group]
-        times = seconds[group]
-        one = np.repeat(x, times)
-        other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(middle[group], times)
-        near = (np.bitwise_count(fp[one] ^ fp[other]) <= radius) & (np.bitwise_count(sfp[one] ^ sfp[other]) <= FAR) & (k[one] != k[other]) & (label[one] != label[other])
-        a, b = k[one[near]], k[other[near]]
-        return np.maximum(a, b), np.minimum(a, b)
+def _candidates(radius: int, similarity: float, best: bool):
+    """(a, b, apart): pairs of rows of other labels that may be near copies; for each row a its most similar one, or all with a > b."""
 
     def of(batches):
         import numpy as np
         import pyarrow as pa
 
-        names = ("key", "i", "j", "side", "k", "fp", "sfp", "label")
-        left = None
-        for batch in itertools.chain(batches, [None]):
-            new = None if batch is None else [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
-            rows = new if left is None else left if new is None else [np.concatenate(p) for p in zip(left, new)]
-            if rows is None or not len(rows[0]):
-                continue
-            change = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0) | (np.diff(rows[2]) != 0)) + 1
-            edges = np.concatenate([[0], change, [len(rows[0])]])
-            edges = edges if new is None else edges[:-1]  # the last group may go on in the next batch
-            if len(edges) > 1:
-                starts, ends = edges[:-1], edges[1:]
-                side, k, fp, sfp, label = rows[3][: edges[-1]], rows[4], rows[5].view(np.uint64), rows[6].view(np.uint64), rows[7]
-                few = np.add.reduceat((side == 1).astype(np.int64), starts) <= min(SIDE, most or SIDE)
-                found = []
-                for n in np.flatnonzero(~few).tolist():
-                    s, e = starts[n], ends[n]
-                    found += pairs(side[s:e], k[s:e], fp[s:e], sfp[s:e], label[s:e])
-                if few.any():  # their rows, side by side
-                    size = (ends - starts)[few]
-                    own = np.repeat(few, ends - starts)
-                    stop = np.cumsum(size)
-                    found.append(small(stop - size, stop, side[own], *(c[: edges[-1]][own] for c in (k, fp, sfp, label))))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[n] for f in found] or [np.zeros(0, np.int64)])) for n in (0, 1)], ["a", "b"])
-            left = [r[edges[-1] :] for r in rows]
+        bits = np.array(masks(radius), np.uint64)
+        for group, rows in _groups(batches, ("v", "i", "j", "side", "k", "fp", "sfp", "label", "size", "sketch"), bits):
+            k, label, size, sketch, fp, across, side = (rows[n] for n in ("k", "label", "size", "sketch", "fp", "i", "side"))
+            across, fp, found, nearest = across != rows["j"], fp.view(np.uint64), [], _Best(k)
+            for x, y in _near(group, rows, radius):
+                other = (label[x] != label[y]) & (~across[x] | (side[x] != side[y]))
+                x, y = x[other], y[other]
+                apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
+                near = apart <= most_apart(size[x] + size[y], similarity)
+                x, y, apart = x[near], y[near], apart[near]
+                if best:
+                    nearest.see(x, y, (apart + 1) / np.maximum(size[x] + size[y], 1))
+                else:
+                    once = _first_table(fp[x], fp[y], rows["v"][x], bits)
+                    found.append((np.maximum(k[x], k[y])[once], np.minimum(k[x], k[y])[once], apart[once] * 1.0))
+            if best:
+                x, y = nearest.found(rows, bits)
+                found = [(k[x], k[y], nearest.measure[x])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[n] for f in found] or [np.zeros(0)]).astype(t)) for n, t in enumerate((np.int64, np.int64, np.float64))], ["a", "b", "apart"])
 
     return of
 
@@ -378,26 +450,22 @@ def near_copies(docs_keyed: DataFrame, width: int = WIDTH, similarity: float = S
     """(node, root): for texts with a near copy, the smallest k of their component."""
     spark = docs_keyed.sparkSession
     fps = stage(word_and_shingle_fingerprints(docs_keyed, width), "words")
-    bits = [_signed(m) for m in masks(radius)]
-    dealt = fps.select("k", "fp", "sfp", F.explode(F.sequence(F.lit(0), F.lit(len(bits) - 1))).alias("v")).select("k", "fp", "sfp", F.xxhash64("v", F.col("fp").bitwiseAND(F.element_at(F.lit(bits), F.col("v") + 1))).alias("key"))
-    least = stage(dealt.groupBy("key").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "buckets")
-    met = stage(dealt.join(least, "key"), "met")
-
-    close = lambda one, other, most: F.bit_count(F.col(one).bitwiseXOR(F.col(other))) <= most
-    firsts = met.where("k > first").select(F.col("k").alias("a"), F.col("first").alias("b"), "fp", "sfp").distinct()
-    other = fps.select(F.col("k").alias("b"), F.col("fp").alias("fp2"), F.col("sfp").alias("sfp2"))
-    tested = stage(firsts.join(other, "b").where(close("fp", "fp2", radius) & close("sfp", "sfp2", FAR)).select("a", "b"), "pairs")
-    roots = stage(components(_verified(tested, docs_keyed, width, similarity)), "near-roots")
-    for most in (FEW, None):
-        named = met.drop("first").join(roots, F.col("k") == F.col("node"), "left").select("key", "k", "fp", "sfp", F.coalesce("root", "k").alias("label"))
-        named = stage(named, "named")
-        mixed = stage(_mixed(named, block), "mixed")
-        dealt_pairs = _block_pairs(named, mixed).repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "k")
-        new = stage(dealt_pairs.mapInArrow(_meet(radius, most), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(new)
-        links = _verified(new, docs_keyed, width, similarity)
+    some = stage(_in_tables(fps, radius).select("v", "k", "fp", "sfp").mapInArrow(_mates(radius, block), "k long").distinct(), "mates")
+    sets = stage(sketched_sets(docs_keyed.select("k", "text").join(some, "k", "left_semi"), width), "shingles")
+    rows = stage(fps.join(sets.select("k", "size", "sketch"), "k"), "sketched")
+    roots = spark.createDataFrame([], "node long, root long")
+    tested = spark.createDataFrame([], "a long, b long")
+    for reach, best in ((min(radius, CLOSE), True), (radius, True), (radius, False)):
+        named = stage(rows.join(roots, F.col("k") == F.col("node"), "left").select("k", "fp", "sfp", "size", "sketch", F.coalesce("root", "k").alias("label")), "named")
+        found = stage(_in_tables(named, reach, block).mapInArrow(_candidates(reach, similarity, best), "a long, b long, apart double"), "met")
+        pairs = found.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")) if best else found
+        pairs = stage(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.union(pairs)
+        links = _verified(pairs, sets, similarity)
         if not links.isEmpty():
             roots = stage(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)), "near-roots")
+        if best and reach == radius:  # only these have candidates in other components
+            rows = rows.join(stage(found.select(F.col("a").alias("k")).distinct(), "left"), "k", "left_semi")
     return roots
 
 
