@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tracklens.functions import scalars as S
 from tracklens.operators import similarity
 from tracklens.operators.aggregates import stats_row
+from tracklens.operators.chunk_pairs import cosines, meet, pack
 from tracklens.operators.ranking import top_k
 from tracklens.sources.shared import staged
 
@@ -34,32 +35,14 @@ UNITS, LISTS = "track_id string, u array<double>", "source string, target string
 def meet_all(asked: DataFrame, units: DataFrame, k: int) -> DataFrame:
     """(source, target, score) of asked (track_id, u, fresh) and all units (track_id, u).
 
-    Of each asked vector its k best in a block; of each vector the k best fresh ones among a block of asked. A task
-    holds two blocks.
+    Of each asked vector its k best, and of each vector its k best fresh ones, by partition of the other side.
     """
-    rows, columns = (max(1, math.ceil(d.count() / similarity.BLOCK)) for d in (asked, units))
-    block = lambda n: F.pmod(F.xxhash64("track_id"), F.lit(n)).cast("int")
-    left = asked.select(block(rows).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("j"), "track_id", "u", "fresh")
-    right = units.select(F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("i2"), block(columns).alias("j2"), "track_id", "u")
-
-    def met(some, every):
-        import numpy as np
-        import pandas as pd
-
-        if not len(some) or not len(every):
-            return pd.DataFrame()
-        some, every = some.sort_values("track_id", ignore_index=True), every.sort_values("track_id", ignore_index=True)
-        ids, others = some["track_id"].to_numpy(), every["track_id"].to_numpy()
-        score = np.clip(np.stack(some["u"]) @ np.stack(every["u"]).T, -1, 1)
-        score[ids[:, None] == others[None]] = -np.inf
-        fresh = some["fresh"].to_numpy(bool)
-        best = similarity._k_best(k)
-        parts = [best(ids, others, score)]
-        if fresh.any():
-            parts.append(best(others, ids[fresh], np.ascontiguousarray(score[fresh].T)))
-        return pd.concat(parts)
-
-    return left.groupBy("i", "j").cogroup(right.groupBy("i2", "j2")).applyInPandas(met, "source string, target string, score double")
+    points = lambda d: d.select(C("track_id").alias("id"), C("u").alias("v"))
+    rows, every = (pack(points(d), d.count(), similarity.BLOCK) for d in (asked, units))
+    fresh = pack(points(asked.where("fresh")), rows.n, similarity.BLOCK)
+    schema = "source string, target string, score double"
+    own = meet(rows, every, cosines(k), schema)
+    return own.union(meet(every, fresh, cosines(k), schema)) if fresh.count else own
 
 
 class NeighbourStore:
