@@ -9,7 +9,7 @@
    of their strength, pull, and for each of them REPEL tracks of a sample push. The step length falls to 0 over all rounds.
 
 A task holds a part's tracks and edges, and a sample of the map of about SAMPLE places. Everything random comes
-from the seed, the round and the part, on rows in the order of ids, and places at the start and strengths have six places;
+from the seed, the round and the part, on rows in the order of ids, and places at the start have six places, strengths nine;
 so a map can be made again.
 
 Defined results: tracks without a direction (see ``knn``) or neighbours stay where they start; one track lies at the
@@ -64,7 +64,7 @@ def neighbour_graph(vectors: DataFrame, k: int = 15) -> DataFrame:
     lists = near.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("distance", "target"))).alias("n"))  # k of each
     directed = lists.select("source", F.explode(F.arrays_zip(C("n.target").alias("target"), strengths(max(2, k))(C("n.distance")).alias("p"))).alias("e")).select("source", "e.target", "e.p")
     both = directed.union(directed.select("target", "source", "p")).groupBy("source", "target").agg(F.min("p").alias("low"), F.max("p").alias("high"), F.count("*").alias("n"))
-    return staged(both.select("source", "target", F.when(C("n") == 2, C("low") + C("high") - C("low") * C("high")).otherwise(C("high")).alias("w")).withColumn("w", F.round("w", 6)), "graph")
+    return staged(both.select("source", "target", F.when(C("n") == 2, C("low") + C("high") - C("low") * C("high")).otherwise(C("high")).alias("w")).withColumn("w", F.round("w", 9)), "graph")
 
 
 def _step(places, source, target, fixed, w, pushers, rate, rng):
